@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import chat, packing, sharding, word_bpe
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op3_bm25_packing": packing.op3_bm25_packing,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
+    "op8_prefix_bpe": word_bpe.op8_prefix_bpe,
 }
 ORACLE_SQL = {
     "op2_chat_format": chat.OP2_SQL,
