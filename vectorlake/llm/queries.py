@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, word_bpe
+from . import chat, embedding_dedup, html_text, packing, sharding, word_bpe
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_bm25_packing": packing.op3_bm25_packing,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
+    "op7_text_density": html_text.op7_text_density,
     "op8_prefix_bpe": word_bpe.op8_prefix_bpe,
+    "op9_pca_tiled_dedup": embedding_dedup.op9_pca_tiled_dedup,
 }
 ORACLE_SQL = {
     "op2_chat_format": chat.OP2_SQL,
+    "op9_pca_tiled_dedup": embedding_dedup.OP9_SQL,
 }
