@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, packing, sharding, word_bpe
+from . import chat, embedding_dedup, html_text, lattice_lm, packing, sharding, word_bpe
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_bm25_packing": packing.op3_bm25_packing,
+    "op4_lattice_lm": lattice_lm.op4_lattice_lm,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_text_density": html_text.op7_text_density,
     "op8_prefix_bpe": word_bpe.op8_prefix_bpe,
