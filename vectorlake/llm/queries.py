@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, lattice_lm, packing, sharding, word_bpe
+from . import chat, embedding_dedup, html_text, lattice_lm, packing, quality, sharding, word_bpe
 
 QUERIES = {
+    "op1_line_frequency": quality.op1_line_frequency,
     "op2_chat_format": chat.op2_chat_format,
     "op3_bm25_packing": packing.op3_bm25_packing,
     "op4_lattice_lm": lattice_lm.op4_lattice_lm,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_pca_tiled_dedup": embedding_dedup.op9_pca_tiled_dedup,
 }
 ORACLE_SQL = {
+    "op1_line_frequency": quality.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op9_pca_tiled_dedup": embedding_dedup.OP9_SQL,
 }
