@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, lattice_lm, packing, quality, sharding, word_bpe
+from . import chat, embedding_dedup, html_text, lattice_lm, minhash_dedup, packing, quality, sharding, word_bpe
 
 QUERIES = {
     "op1_line_frequency": quality.op1_line_frequency,
     "op2_chat_format": chat.op2_chat_format,
     "op3_bm25_packing": packing.op3_bm25_packing,
     "op4_lattice_lm": lattice_lm.op4_lattice_lm,
+    "op5_bottom_k_minhash": minhash_dedup.op5_bottom_k_minhash,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_text_density": html_text.op7_text_density,
     "op8_prefix_bpe": word_bpe.op8_prefix_bpe,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_frequency": quality.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
+    "op5_bottom_k_minhash": minhash_dedup.OP5_SQL,
     "op9_pca_tiled_dedup": embedding_dedup.OP9_SQL,
 }
