@@ -147,6 +147,7 @@ def _prune(nodes: list[Node]) -> None:
     size: dict[int, int] = {}
     for node in reversed(nodes):
         size[id(node)] = sum(len(x.split() and x) if isinstance(x, str) else size.get(id(x), 0) for x in node.items)
+    marked = any(x.tag in CONTENT for x in nodes)  # then whatever does not hold the article can go, however long
     whole = size[id(nodes[0])]
     for node in nodes[1:]:
         if node.parent.cut:
@@ -159,7 +160,7 @@ def _prune(nodes: list[Node]) -> None:
             attrs = _attributes(node.attrs)
             names = set(_NAME.findall(_CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
             named = bool(names & CUT_WORDS) or bool(names & PAGE_HEADER) and not inside[id(node)] or attrs.get("role", "").lower() in CUT_ROLES
-            if named and id(node) not in holds and 2 * size[id(node)] <= whole:
+            if named and id(node) not in holds and (marked or 2 * size[id(node)] <= whole):
                 node.cut = True
             elif "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
                 node.cut = True
