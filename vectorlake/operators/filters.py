@@ -126,7 +126,7 @@ def predicate(df: DataFrame, spec: Any, ne_requires_field: bool = False) -> Colu
             if v is None:
                 return c.isNull()
             same = {"boolean": isinstance(v, bool), "string": isinstance(v, str)}.get(kind, kind in numeric and isinstance(v, (int, float)) and not isinstance(v, bool))
-            return F.coalesce(c == F.lit(v), no) if same else no
+            return c.isNotNull() & (c == F.lit(v)) if same else no
 
         if t.op == "$eq":
             return equal(t.value)
@@ -137,7 +137,7 @@ def predicate(df: DataFrame, spec: Any, ne_requires_field: bool = False) -> Colu
         number = isinstance(t.value, (int, float)) and not isinstance(t.value, bool)
         if not (number and kind in numeric or isinstance(t.value, str) and kind == "string"):
             return no
-        return F.coalesce(COMPARISONS[t.op](c, F.lit(t.value)), no)
+        return c.isNotNull() & COMPARISONS[t.op](c, F.lit(t.value))
 
     return _compile(parse(spec) if not isinstance(spec, (Test, All, Any_)) else spec, test)
 
