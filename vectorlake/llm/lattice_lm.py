@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-COMMON = 50_000
+COMMON = 1_000_000
 LANGUAGES = 8
 ROUNDS = 3
 #: Weight, in piece counts, of the probabilities over all languages when one language's are fitted.
@@ -173,8 +173,11 @@ def word_scores(lattice: Lattice, words: list[bytes], logp: np.ndarray) -> np.nd
 
 
 def expected_counts(lattice: Lattice, words: list[bytes], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece in each set; ``counts`` has the words' counts for each set."""
-    sums = np.zeros((logp.shape[0], logp.shape[1]))
+    """Expected number of uses of each piece in each set; ``counts`` has the words' counts for each set.
+
+    ``logp`` may have a single column, of probabilities that all sets still share; the recursions then run once for all.
+    """
+    sums = np.zeros((logp.shape[0], counts.shape[1]))
     for rows, chars in _by_length(words):
         found = lattice.matches(chars)
         alpha, beta = lattice.forward(found, logp), lattice.backward(found, logp)
@@ -183,7 +186,7 @@ def expected_counts(lattice: Lattice, words: list[bytes], counts: np.ndarray, lo
             w, at = np.nonzero(m >= 0)
             ids = m[w, at]
             used = np.exp(alpha[at, w] + logp[ids] + beta[at + n, w] - alpha[-1, w]) * weight[w]
-            for k in range(logp.shape[1]):
+            for k in range(counts.shape[1]):
                 sums[:, k] += np.bincount(ids, weights=used[:, k], minlength=len(sums))
     return sums
 
@@ -217,8 +220,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), group.alias("lang"), is_held_out(docs[id_col]).alias("held_out"))
     sizes = rows.where("not held_out").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1).collect()
     sets = {r["lang"]: k for k, r in enumerate(sizes)}
-    rest = len(sets)  # the set of all other languages
-    n_sets = rest + 1
+    others = rows.where("not held_out").select("lang").distinct().count() > len(sets)
+    n_sets = max(len(sets) + others, 1)
+    rest = n_sets - 1  # the set of all other languages, if there are any
 
     # 1. Words and their training counts by set.
     def count(batches):
@@ -250,7 +254,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     ).first()
     texts = {r["lang"]: r["count"] for r in sizes}
     trained = rows.where("not held_out").count()
-    ends = np.array([*texts.values(), trained - sum(texts.values())], dtype=np.float64)
+    ends = np.array([*texts.values(), trained - sum(texts.values())][:n_sets], dtype=np.float64)
     tokens = np.array([totals[f"n{k}"] or 0 for k in range(n_sets)]) + ends
     kinds = np.array([totals[f"v{k}"] for k in range(n_sets)]) + (ends > 0)
     train_tokens = int(tokens.sum())
@@ -258,9 +262,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
     def token_scores(c_k: np.ndarray, lattice: np.ndarray) -> np.ndarray:
         """log p_k of tokens from their counts in each set and their lattice probabilities."""
-        c = c_k.sum(axis=1, keepdims=True)
+        c, n = c_k.sum(axis=1, keepdims=True), max(train_tokens, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(train_tokens > 0, np.maximum(c - DISCOUNT, 0) / train_tokens + DISCOUNT * distinct / train_tokens * lattice, lattice)
+            p = np.where(train_tokens > 0, np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * distinct / n * lattice, lattice)
             p = np.where(tokens > 0, np.maximum(c_k - DISCOUNT, 0) / tokens + DISCOUNT * kinds / tokens * p, p)
         return p
 
@@ -274,7 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         counts = sums + PRIOR * (everywhere / everywhere.sum())[:, None]
         return np.log(counts / counts.sum(axis=0))
 
-    logp = np.repeat(first[:, None], n_sets, axis=1)
+    logp = first[:, None]
     for _ in range(ROUNDS if trained else 0):
         now = _padded(logp)
 
@@ -295,6 +299,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         got = expected.toPandas()  # at most one row for each piece of the vocabulary and set
         sums[got["piece"], got["s"]] = got["n"]
         logp = normalized(sums)
+    logp = np.broadcast_to(logp, (size, n_sets))
     shares = np.log((ends + 0.5) / (ends + 0.5).sum())
     end_scores = np.log(token_scores(ends[None, :], np.full((1, n_sets), END)))[0]
 
