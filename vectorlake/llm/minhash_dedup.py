@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -33,7 +33,9 @@ from .shingles import WordHashes, shingle_set
 
 SKETCH = 64
 #: Chance that one linked pair of large sets shares too few values.
-MISS = 1e-9
+MISS = 1e-7
+#: Steps in which the share of common values is rounded down.
+STEPS = 32
 
 
 def least_shared(k: int, similarity: float, miss: float = MISS) -> int:
@@ -50,11 +52,29 @@ def _needed(n: int, k: int, similarity: float) -> int:
     """Values that the sketch of a set of ``n`` shares with any linked set's sketch."""
     at_least = math.ceil(similarity * n - 1e-9)  # of the whole sets
     if n > k:
-        return least_shared(k, similarity)
+        return least_shared(k, similarity, MISS / 2)
     largest = math.floor(n / similarity + 1e-9)
     return max(1, min(at_least - max(0, largest - k), n))
 
 
+def may_link(similarity: float, an: Column, a_place: Column, bn: Column, b_place: Column) -> Column:
+    """Whether two sets can be linked that have a value in common at these places of their sketches, rarest values first.
+
+    A linked pair's first common value passes.  From there on they can share no more values than the shorter rest holds.  Linked
+    sets have ``c >= J (an + bn) / (1 + J)`` values in common; each retained value of the larger set is one of them with
+    probability ``c / larger``, and those of the sketch that ends first are all retained by the other, too.
+    """
+    most = F.least(F.least(an, F.lit(SKETCH)) - a_place, F.least(bn, F.lit(SKETCH)) - b_place) + 1
+    larger, smaller = F.greatest(an, bn), F.least(an, bn)
+    low, high = similarity, 2 * similarity / (1 + similarity)
+    share = F.lit(similarity / (1 + similarity)) * (1 + smaller / larger)
+    table_ = F.array(*[F.lit(least_shared(SKETCH, low + (high - low) * i / STEPS, MISS / 2)) for i in range(STEPS + 1)])
+    step = F.greatest(F.lit(0), F.least(F.lit(STEPS), F.floor((share - low) / (high - low) * STEPS - 1e-6))).cast("int")
+    whole = F.ceil(F.lit(similarity / (1 + similarity)) * (an + bn) - 1e-6)
+    needed = F.when(larger <= SKETCH, whole).otherwise(F.get(table_, step))
+    return (smaller >= F.lit(similarity - 1e-9) * larger) & (most >= needed)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     known = WordHashes()
     for b in batches:
@@ -87,27 +107,27 @@ def link(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id",
     prefix = retained - F.element_at(F.array(*map(F.lit, by_size)), F.least(F.col("n"), F.lit(SKETCH + 1)).cast("int")) + 1
     ranked = met.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))  # at most SKETCH values
     alone = retained - F.size("values")  # values of no other document come first
-    lists = ranked.withColumn("values", F.slice("values", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).select("node", "n", F.explode("values.v").alias("v"))
+    cut = ranked.withColumn("alone", alone).withColumn("values", F.slice("values", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")))
+    lists = cut.select("node", "n", "alone", F.posexplode("values.v").alias("i", "v")).select("node", "n", (F.col("alone") + F.col("i") + 1).alias("place"), "v")
     lists = scratch.save(lists, "lists")
     scratch.drop("shared")
 
     # Each list's members against its smallest one.
-    pivots = scratch.save(lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("v").alias("pv"), "p.*").withColumnsRenamed({"node": "a", "n": "an"}), "pivots")
-    near = lambda x, y: (F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y))  # noqa: E731  Jaccard is at most the ratio of the sizes
-    stars = lists.join(pivots, F.col("v") == F.col("pv")).where((F.col("a") < F.col("node")) & near(F.col("an"), F.col("n"))).select("a", F.col("node").alias("b")).distinct()
+    pivots = scratch.save(lists.groupBy("v").agg(F.min(F.struct("node", "n", "place")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("v").alias("pv"), "p.*").withColumnsRenamed({"node": "a", "n": "an", "place": "ap"}), "pivots")
+    stars = lists.join(pivots, F.col("v") == F.col("pv")).where((F.col("a") < F.col("node")) & may_link(similarity, F.col("an"), F.col("ap"), F.col("n"), F.col("place"))).select("a", F.col("node").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
     first = scratch.save(_verified(stars, nodes, rows, words, similarity, scratch, "star"), "first")
     parts = scratch.save(components(first, scratch), "parts")
 
     # Members that are still apart.
-    placed = lists.join(parts, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = lists.join(parts, "node", "left").select("v", "node", "n", "place", F.coalesce("component", "node").alias("c"))
     placed = scratch.save(placed, "placed")
     mixed_lists = scratch.save(placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("v").alias("mv")), "mixed")
     apart = scratch.save(placed.join(mixed_lists, F.col("v") == F.col("mv")).drop("mv"), "apart")
     # A component may be most of a list, so a node pairs only with nodes of components other than its own.
-    left = apart.select("v", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    right = apart.select(F.col("v").alias("rv"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    rest = left.join(right, (F.col("v") == F.col("rv")) & (F.col("ac") < F.col("bc")) & near(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = apart.select("v", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("c").alias("ac"))
+    right = apart.select(F.col("v").alias("rv"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("c").alias("bc"))
+    rest = left.join(right, (F.col("v") == F.col("rv")) & (F.col("ac") < F.col("bc")) & may_link(similarity, F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = stars.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
     rest = rest.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     second = scratch.save(_verified(rest, nodes, rows, words, similarity, scratch, "rest"), "second")
