@@ -33,24 +33,45 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables, written once to the shared folder so that lost executors never force a recomputation.
 
-    ``save`` writes a DataFrame as Parquet and reads it back; ``drop`` removes a table that is no longer needed.
+    ``save`` writes a DataFrame as Parquet and reads it back; ``drop`` removes tables that are no longer needed, ``clear`` all
+    but the given ones, and both let Spark's cleaner remove the shuffle files of finished jobs.
     Tables that a returned (lazy) result still reads stay until the folder's owner clears it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self._names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        self._names.add(name)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_parts(self, df: DataFrame, name: str, part: str, values: tuple) -> list[DataFrame]:
+        """One table for each value of the column ``part``, written in one job; ``drop`` knows them as ``name/part=value``."""
+        df.write.option("compression", "zstd").partitionBy(part).parquet(f"{self.root}/{name}")
+        self._names.add(name)
+        schema = df.drop(part).schema
+        empty = self.spark.createDataFrame([], schema)
+        out = []
+        for v in values:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{part}={v}")
+            there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+            out.append(self.spark.read.schema(schema).parquet(path.toString()) if there else empty)
+        return out
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._names.discard(name)
+        jvm.System.gc()
+
+    def clear(self, *keep: str) -> None:
+        self.drop(*(self._names - set(keep)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

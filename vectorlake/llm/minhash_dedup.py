@@ -81,10 +81,10 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
         yield b, [shingle_set(known.of((t.as_py() or "").encode().lower().split()), words) for t in b.column(1)]
 
 
-def link(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.  Links have Jaccard similarity >= ``similarity``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash-dedup")
+    scratch = scratch or Scratch(spark, "minhash-dedup")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def sketch(batches):
@@ -138,10 +138,13 @@ def link(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id",
     over = second
     for side in ("a", "b"):
         over = over.join(parts.select(F.col("node").alias(f"n{side}"), F.col("component").alias(f"c{side}")), F.col(side) == F.col(f"n{side}"), "left")
-    joined = scratch.save(components(over.select(label("a").alias("a"), label("b").alias("b")), Scratch(spark, "minhash-joined")), "joined")
+    again = Scratch(spark, "minhash-joined")
+    joined = scratch.save(components(over.select(label("a").alias("a"), label("b").alias("b")), again), "joined")
+    again.clear()
     classes = nodes.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     classes = classes.join(joined.withColumnsRenamed({"node": "jn", "component": "jc"}), F.col("c") == F.col("jn"), "left")
     classes = scratch.save(classes.select(F.col("key").alias("k"), F.coalesce("jc", "c").alias("component")), "classes")
+    scratch.clear("sketches", "classes")
     component = F.coalesce("component", "doc_id")
     return told.select("doc_id", "n", "key").join(classes, F.col("key") == F.col("k"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -181,8 +184,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, s
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one of each group of near duplicates: the one with the smallest id."""
-    kept = link(docs, words, similarity, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = Scratch(docs.sparkSession, "minhash-kept").save(kept, "kept")
+    scratch = Scratch(docs.sparkSession, "minhash-dedup")
+    kept = link(docs, words, similarity, id_col, text_col, scratch).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    kept = scratch.save(kept, "kept")
+    scratch.clear("kept")
     good = docs.join(kept, docs[id_col].cast("long") == F.col("__id"), "left_semi")
     return good.unionByName(docs.where(docs[id_col].cast("long").isNull()))
 

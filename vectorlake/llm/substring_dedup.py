@@ -269,12 +269,14 @@ def find(docs: DataFrame, scratch: Scratch, window: int, id_col: str, text_col:
                 names=["doc_id", "fingerprint", "start", "digest", "key", "run", "n"],
             )
 
-    pieces = scratch.save(texts.mapInArrow(cut, "doc_id long, fingerprint long, start int, digest binary, key long, run binary, n long"), "pieces")
-    different = scratch.save(pieces.where("n is not null").groupBy("key", "digest", "run").agg(F.sum("n").alias("n")), "different")
+    pieces = texts.mapInArrow(cut, "doc_id long, fingerprint long, start int, digest binary, key long, run binary, n long").withColumn("part", F.col("n").isNotNull().cast("int"))
+    places, texts_of_runs = scratch.save_parts(pieces, "pieces", "part", (0, 1))
+    different = scratch.save(texts_of_runs.groupBy("key", "digest", "run").agg(F.sum("n").alias("n")), "different")
+    scratch.drop("pieces/part=1")
     ranges = _shards(different, 0, window, scratch)
     ranges = scratch.save(ranges.withColumnRenamed("digest", "rd"), "ranges")
     scratch.drop("different")
-    hits = pieces.where("start is not null").join(ranges, F.col("digest") == F.col("rd"))
+    hits = places.join(ranges, F.col("digest") == F.col("rd"))
     covered = hits.select("doc_id", "fingerprint", F.transform("ranges", lambda x: x + F.col("start")).alias("r")).groupBy("doc_id", "fingerprint").agg(F.flatten(F.collect_list("r")).alias("covered"))
     covered = scratch.save(covered.withColumnsRenamed({"doc_id": "cd", "fingerprint": "cf"}), "covered")
     scratch.drop("pieces")
@@ -348,6 +350,7 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     """The documents, all columns and rows, with repeated passages removed from the text."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     _, hits = find(docs, scratch, window, id_col, text_col)
+    scratch.drop("scan")  # the other table is not needed here
 
     def edit(batches):
         for b in batches:
@@ -356,6 +359,7 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     # A row's text is its key on the other side, so the join needs no fingerprint of it.
     edited = hits.distinct().select("doc_id", F.lit(0).cast("long").alias("fingerprint"), "text", "covered")
     edited = scratch.save(edited.mapInArrow(lambda it: _with_old(it, edit), "doc_id long, hash binary, text string").withColumnsRenamed({"doc_id": "__id", "hash": "__hash", "text": "__text"}), "edited")
+    scratch.clear("edited")
     key = F.unhex(F.md5(docs[text_col].cast("binary")))
     joined = docs.join(edited, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__hash")), "left")
     text = F.coalesce(F.col("__text"), docs[text_col])
@@ -385,7 +389,7 @@ def op10_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["hd", "hf", "n_removed", "kept_sha"])
 
     found = scratch.save(hits.mapInArrow(digest, "hd long, hf long, n_removed long, kept_sha string").distinct(), "digests")
-    scratch.drop("texts", "covered")
+    scratch.clear("scan", "digests")
     joined = everyone.join(found, F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("fingerprint") == F.col("hf")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
