@@ -226,23 +226,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
     # 1. Words and their training counts by set.
     def count(batches):
-        held: Counter = Counter()
+        held: dict[int, Counter] = {}
 
         def emit():
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "s", "n"])
+            for k, c in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), k, np.int32)), pa.array(list(c.values()), pa.int64())], names=["word", "s", "n"])
             held.clear()
-            return out
 
         for b in batches:
             for text, lang, out in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = -1 if out else sets.get(lang, rest)
-                for w, n in Counter((text.as_py() or "").encode().lower().split()).items():
-                    held[w, s] += n
-                if len(held) > 400_000:
-                    yield emit()
-        if held:
-            yield emit()
+                held.setdefault(s, Counter()).update((text.as_py() or "").encode().lower().split())
+                if sum(map(len, held.values())) > 400_000:
+                    yield from emit()
+        yield from emit()
 
     partial = rows.select("text", "lang", "held_out").mapInArrow(count, "word binary, s int, n long")
     per_set = [F.sum(F.when(F.col("s") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(n_sets)]
