@@ -22,13 +22,13 @@ def base(text):
 def boilerplate():
     """Twenty documents of host "a" share a line beside different ones; twelve copies share all theirs."""
     rows = corpus(11, 30)
-    line = "Accept our cookies to go on reading, please."
+    word = lambda *x: "".join(map(str, x)).translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731  digits count as equal in lines
+    line = "Accept our cookies to go on reading, please, or read how we and our partners use them."
     for i in range(100, 120):
-        rows.append((i, f"{line}\n" + " ".join(f"w{i}x{k}" for k in range(30)) + f"\n{line}", "en", "a", 0))
-    short = "Home News Sport and more of it in here"
+        rows.append((i, f"{line}\n" + " ".join(word("w", i, "x", k) for k in range(30)), "en", "a", 0))
     for i in range(120, 140):
-        rows.append((i, "\n".join([short, line, " ".join(f"v{i}y{k}" for k in range(8))]), "en", "a", 0))
-    copied = "\n".join(" ".join(f"c{j}z{k}" for k in range(12)) for j in range(4))
+        rows.append((i, "\n".join([line, " ".join(word("v", i, "y", k) for k in range(8))]), "en", "a", 0))
+    copied = "\n".join(" ".join(word("c", j, "z", k) for k in range(12)) for j in range(4))
     rows += [(i, copied, "en", "a", 0) for i in range(140, 152)]
     return rows
 
@@ -52,7 +52,7 @@ def removed_lines(rows):
 def test_quality(spark):
     rows = boilerplate()
     gone, norm = removed_lines(rows)
-    assert len(gone) == 2
+    assert len(gone) == 1
     got: dict = {}
     for r in quality.judge(frame(spark, rows), Scratch(spark, "test")).collect():
         got.setdefault(r["id"], []).append(r)
