@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import corpus_pipeline
@@ -74,6 +75,30 @@ def test_quality(spark):
     assert quality.clean(frame(spark, rows).where("false")).count() == 0
 
 
+def test_lines_that_stand_together(spark):
+    """Each line of a block of boilerplate counts; the lines of a document's copies and near copies do not."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    say = lambda k: " ".join(word() for _ in range(k))
+    short, line, footer = "Home News Sport and more of it in here", "Accept our cookies to go on reading, please.", "All rights reserved by the owners of this site"
+    rows = [(i, f"{line}\n{say(50)}\n{line}", "en", "a", 0) for i in range(20)]
+    rows += [(i, "\n".join([short, line, say(10)]), "en", "a", 0) for i in range(20, 40)]
+    rows += [(i, "\n".join([short, line, footer]), "en", "a", 0) for i in range(40, 60)]  # copies, of shared lines only
+    rows += [(i, "\n".join([short, line, footer, say(8)]), "en", "a", 0) for i in range(60, 80)]
+    article = [[word() for _ in range(20)] for _ in range(30)]
+    rows += [(i, "\n".join(map(" ".join, article)), "en", "a", 0) for i in range(100, 120)]
+    for i in range(120, 150):  # one word changed, in another line each time
+        near = [list(x) for x in article]
+        near[i - 120][i % 20] = word()
+        rows.append((i, "\n".join(map(" ".join, near)), "en", "a", 0))
+    got = {r["id"]: r for r in quality.judge(frame(spark, rows), Scratch(spark, "test")).collect()}
+    size = {x: len(words(x)) for x in (short, line, footer)}
+    for i, t, *_ in rows:
+        lost = sum(size.get(x, 0) for x in t.split("\n"))
+        assert got[i]["removed_words"] == lost and got[i]["kept"] == (not got[i]["base_failed"] and lost <= 0.5 * len(words(t))), i
+    assert not any(got[i]["kept"] for i in range(20, 80)) and all(got[i]["kept"] for i in [*range(20), *range(100, 150)])
+
+
 def test_pipeline(spark, tmp_path):
     rows = boilerplate()
     frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")

@@ -6,8 +6,10 @@ the distinct documents are counted; a line of at most ``MAX_LINE_WORDS`` words a
 ``DEPLETED`` of its words is rejected.  Longer lines are passages, which the duplicate operators look after.
 
 Which documents count as distinct: copies and near copies of one document must not make their own lines look like boilerplate, so
-a line's documents are told apart by the smallest hash among their *other* lines.  Boilerplate stands beside many different
-lines; the lines of a copied document always stand beside the same ones.
+they count once.  Documents of a host with the same lines are copies.  Where a line's documents are still above the limit, those
+whose sets of 5-word windows are alike by ``NEAR`` at least (estimated from their ``SKETCH`` smallest hashes, exact up to that many
+windows) are near copies, and a connected group of them is one document.  Candidates are pairs that agree in one of ``BANDS`` bands
+of the sketch.  Boilerplate stands in documents that differ; pages of the same lines only are copies of each other.
 
 The base rules look at one text alone: fewer than ``MIN_WORDS`` words, or more than 30 % of the words inside 8-word windows that
 occur twice in the text.
@@ -23,9 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, table
+from .graph import components
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 MAX_LINE_WORDS, MIN_DOCUMENTS, SHARE, DEPLETED = 40, 10, 0.005, 0.5
+NEAR_WORDS, NEAR, SKETCH, BANDS = 5, 0.8, 64, 8
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -41,12 +45,12 @@ def _tokens(text: Column) -> Column:
 
 
 def base_features(rows: DataFrame) -> DataFrame:
-    """Adds words' counts and the lines' hashes to rows with a column ``text``; drops the text."""
+    """Adds words' counts, the lines' hashes and the sketch of the windows to rows with a column ``text``; drops the text."""
     keep = [c for c in rows.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     split = rows.select(*keep, text.alias("text"), _tokens(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    windows = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, k)))).otherwise(F.array().cast("array<bigint>"))
     counted = split.select(
         *keep,
         n.cast("long").alias("n_words"),
@@ -54,7 +58,8 @@ def base_features(rows: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("lines", lambda x: F.struct(line_hash(x).alias("hash"), F.size(_tokens(x)).alias("words"))).alias("lines"),
-        windows.alias("h"),
+        windows(WINDOW).alias("h"),
+        F.slice(F.array_distinct(F.sort_array(windows(NEAR_WORDS))), 1, SKETCH).alias("sketch"),
     )
     # Windows that occur twice: neighbours with equal hashes once sorted with their places.
     repeats = F.size(F.array_distinct("h")) < F.size("h")
@@ -67,23 +72,49 @@ def base_features(rows: DataFrame) -> DataFrame:
     return places.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("p")
 
 
+def near_classes(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for the rows of ``documents`` (row, host, sketch) that have near copies in their host."""
+    members = lambda b: F.slice(F.filter("sketch", lambda x: F.shiftright(x, 3).bitwiseAND(F.lit(BANDS - 1)) == b), 1, 3)
+    bands = F.array(*[F.when(F.size(members(b)) > 0, F.xxhash64("host", F.lit(b), members(b))) for b in range(BANDS)])
+    keys = scratch.save(documents.select("row", F.explode(F.array_compact(bands)).alias("key")), "keys")
+    least = scratch.save(keys.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "a"), "least")
+    pairs = scratch.save(keys.join(least, F.col("key") == F.col("k")).where("row <> a").select("a", F.col("row").alias("b")).distinct(), "pairs")
+    side = lambda x: documents.select(F.col("row").alias(f"row_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
+    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+    alike = F.size(F.array_intersect(F.array_intersect(union, F.col("sketch_a")), F.col("sketch_b"))) >= NEAR * F.size(union)
+    links = scratch.save(both.where(alike).select("a", "b"), "links")
+    scratch.drop("keys", "least", "pairs")
+    return components(links, scratch)
+
+
 def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: id, fingerprint of (text, host), the base counts, base_failed, removed (line hashes), removed_words, kept."""
     host = F.coalesce(docs[host_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col], host).alias("fingerprint"), host.alias("host"), docs[text_col].alias("text"))
     features = scratch.save(base_features(rows).withColumn("row", F.monotonically_increasing_id()), "features")
 
-    hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["hash"])))
-    lines = features.select("row", "host", hashes.alias("all"), F.explode("lines").alias("line")).select("row", "host", "all", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    first, second = F.get("all", F.lit(0)), F.get("all", F.lit(1))
-    beside = F.coalesce(F.when(first == F.col("hash"), second).otherwise(first), F.lit(b""))
-    lines = scratch.save(lines.where(F.col("words") <= MAX_LINE_WORDS).select("row", "host", "hash", "words", beside.alias("beside")), "lines")
-    documents = lines.groupBy("host", "hash", "beside").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    document = F.md5(F.array_join(F.transform("lines", lambda x: F.hex(x["hash"])), "").cast("binary"))
+    lines = features.select("row", "host", F.unhex(document).alias("document"), F.explode("lines").alias("line")).select("row", "host", "document", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
+    lines = scratch.save(lines.where(F.col("words") <= MAX_LINE_WORDS), "lines")
+    copies = lines.groupBy("host", "hash", "document").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     limits = features.groupBy("host").agg(F.greatest(F.lit(float(MIN_DOCUMENTS)), SHARE * F.count(F.lit(1))).alias("most"))
-    frequent = scratch.save(documents.where(F.col("n") > MIN_DOCUMENTS).join(limits, "host").where("n > most").select(F.col("host").alias("h"), F.col("hash").alias("x")), "frequent")
-    gone = lines.join(frequent, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x"))).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("hash").alias("removed"))
+    common = scratch.save(copies.where(F.col("n") > MIN_DOCUMENTS).join(limits, "host").where("n > most").select(F.col("host").alias("h"), F.col("hash").alias("x"), "most"), "common")
+    carried = lines.join(common, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x"))).select("row", "host", "document", "hash", "words", "most")
+    carried = scratch.save(carried, "carried")
+    scratch.drop("lines")
+
+    # What is counted once: a group of near copies, of which each set of copies sends one row.
+    one = scratch.save(carried.groupBy("host", "document").agg(F.min("row").alias("r")), "one")
+    documents = scratch.save(one.join(features.select("row", "sketch"), F.col("r") == F.col("row")).select("row", "host", "sketch"), "documents")
+    classes = scratch.save(near_classes(documents, scratch), "classes")
+    one = scratch.save(one.join(classes, F.col("r") == F.col("node"), "left").select(F.col("host").alias("h"), F.col("document").alias("d"), F.coalesce("component", "r").alias("class")), "class")
+    held = scratch.save(carried.select("host", "hash", "document", "most").distinct(), "held")
+    counts = held.join(one, (F.col("host") == F.col("h")) & (F.col("document") == F.col("d"))).groupBy("host", "hash", "most", "class").agg(F.lit(1).alias("one")).groupBy("host", "hash", "most").agg(F.count(F.lit(1)).alias("n"))
+    frequent = scratch.save(counts.where("n > most").select(F.col("host").alias("h"), F.col("hash").alias("x")), "frequent")
+    gone = carried.join(frequent, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x"))).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("hash").alias("removed"))
     gone = scratch.save(gone.withColumnRenamed("row", "r"), "gone")
-    scratch.drop("lines", "frequent")
+    scratch.clear("features", "gone")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     removed_words = F.coalesce("removed_words", F.lit(0))
     return features.join(gone, F.col("row") == F.col("r"), "left").select(
