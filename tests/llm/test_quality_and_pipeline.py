@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vectorlake.llm import quality
 from vectorlake.llm.common import Scratch
@@ -99,6 +101,17 @@ def test_lines_that_stand_together(spark):
     assert not any(got[i]["kept"] for i in range(20, 80)) and all(got[i]["kept"] for i in [*range(20), *range(100, 150)])
 
 
+def test_long_lines_and_large_hosts(spark):
+    rng = random.Random(6)
+    say = lambda k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(k))
+    notice = say(45)
+    rows = [(i, f"{notice}\n{say(60)}", "en", "a", 0) for i in range(20)] + [(i, f"{notice}\n{say(30)}", "en", "a", 0) for i in range(20, 40)]
+    got = {r["id"]: r for r in quality.judge(frame(spark, rows), Scratch(spark, "test")).collect()}
+    assert all(r["removed_words"] == 45 and r["kept"] == (i < 20) for i, r in got.items())
+    limits = spark.createDataFrame([(10,), (100_000,), (10_000_000,)], "n long").orderBy("n").select(quality.line_limit(F.col("n")).alias("x"))
+    assert [r["x"] for r in limits.collect()] == [10, 500, 1000]
+
+
 def test_pipeline(spark, tmp_path):
     rows = boilerplate()
     frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")

@@ -1,9 +1,9 @@
 r"""Quality rules from cross-document line frequency, native DataFrame operations only.
 
 Lines (split at \n) are normalised (lower case, digits to 0, white space collapsed) and hashed.  For each host and line hash
-the distinct documents are counted; a line of at most ``MAX_LINE_WORDS`` words above its host's limit, the larger of
-``MIN_DOCUMENTS`` and ``SHARE`` of the host's rows, is removed from that host's documents, and a document that loses more than
-``DEPLETED`` of its words is rejected.  Longer lines are passages, which the duplicate operators look after.
+the distinct documents are counted; a line of any length above its host's limit is removed from that host's documents, and a
+document that loses more than ``DEPLETED`` of its words is rejected.  The limit is ``SHARE`` of the host's rows, but
+``MIN_DOCUMENTS`` at least and ``MOST_DOCUMENTS`` at most, so that it does not rise on with a large host.
 
 Which documents count as distinct: copies and near copies of one document must not make their own lines look like boilerplate, so
 they count once.  Documents of a host with the same lines are copies.  Where a line's documents are still above the limit, those
@@ -28,7 +28,7 @@ from .common import SPACE, Scratch, table
 from .graph import components
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
-MAX_LINE_WORDS, MIN_DOCUMENTS, SHARE, DEPLETED = 40, 10, 0.005, 0.5
+MIN_DOCUMENTS, MOST_DOCUMENTS, SHARE, DEPLETED = 10, 1000, 0.005, 0.5
 NEAR_WORDS, NEAR, SKETCH, BANDS = 5, 0.8, 64, 8
 _BLANKS = " \t\n\x0b\f\r"
 
@@ -88,6 +88,11 @@ def near_classes(documents: DataFrame, scratch: Scratch) -> DataFrame:
     return components(links, scratch)
 
 
+def line_limit(rows: Column) -> Column:
+    """The distinct documents in which a line may stand, given its host's rows."""
+    return F.least(F.greatest(F.lit(float(MIN_DOCUMENTS)), SHARE * rows), F.lit(float(MOST_DOCUMENTS)))
+
+
 def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: id, fingerprint of (text, host), the base counts, base_failed, removed (line hashes), removed_words, kept."""
     host = F.coalesce(docs[host_col].cast("string"), F.lit(""))
@@ -96,9 +101,9 @@ def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
     document = F.md5(F.array_join(F.transform("lines", lambda x: F.hex(x["hash"])), "").cast("binary"))
     lines = features.select("row", "host", F.unhex(document).alias("document"), F.explode("lines").alias("line")).select("row", "host", "document", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    lines = scratch.save(lines.where(F.col("words") <= MAX_LINE_WORDS), "lines")
+    lines = scratch.save(lines, "lines")
     copies = lines.groupBy("host", "hash", "document").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    limits = features.groupBy("host").agg(F.greatest(F.lit(float(MIN_DOCUMENTS)), SHARE * F.count(F.lit(1))).alias("most"))
+    limits = features.groupBy("host").agg(line_limit(F.count(F.lit(1))).alias("most"))
     common = scratch.save(copies.where(F.col("n") > MIN_DOCUMENTS).join(limits, "host").where("n > most").select(F.col("host").alias("h"), F.col("hash").alias("x"), "most"), "common")
     carried = lines.join(common, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x"))).select("row", "host", "document", "hash", "words", "most")
     carried = scratch.save(carried, "carried")
