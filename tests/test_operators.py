@@ -221,6 +221,19 @@ def test_graph(spark):
     built.unpersist()
 
 
+def test_graph_search_walks_to_the_end(spark):
+    x = np.stack([np.arange(40.0), np.zeros(40)], axis=1)
+    points, queries = table(spark, x), asked(spark, *x[::8])
+    chain = spark.range(39).select(F.lit(0).alias("layer"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("dist"))
+    chain = chain.union(chain.select("layer", "dst", "src", "dist")).persist()
+    config = HnswConfig(m=2, ef_search=3)
+    hits = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
+    assert hits(graph.search(chain, points, queries, 3, config, "l2")) == hits(exact.knn_join(points, queries, 3, "l2"))
+    rare = F.col("vec_id").isin(1, 17, 38)
+    assert hits(graph.search(chain, points, queries, 3, config, "l2", eligible=rare)) == hits(exact.knn_join(points, queries, 3, "l2", rare))
+    chain.unpersist()
+
+
 def test_grid(spark):
     config = GridConfig(outer_grid=(8, 8))
     shape = grid.layers(config)

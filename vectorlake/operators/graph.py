@@ -7,6 +7,7 @@ of every query meets the edges, then the vectors; visited nodes are left out and
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,8 +52,10 @@ def knn_graph_in_lists(entries: DataFrame, m: int, metric_name: str = "cosine")
     return top_k_per_query(near, m).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("distance").alias("dist"))
 
 
-def build(points: DataFrame, config: HnswConfig = HnswConfig(), metric_name: str = "cosine", layers: int = 3) -> DataFrame:
-    """Edges of all layers; layer 0 holds every node with up to m_max0 neighbours."""
+def build(points: DataFrame, config: HnswConfig = HnswConfig(), metric_name: str = "cosine", layers: int | None = None) -> DataFrame:
+    """Edges of all layers, as many as the points' levels ask for; layer 0 holds every node with up to m_max0 neighbours."""
+    if layers is None:
+        layers = 1 + (points.agg(F.max(level(F.col("vec_id"), config))).first()[0] or 0)
     tall = points.withColumn("level", F.least(level(F.col("vec_id"), config), F.lit(layers - 1)))
     out = []
     for layer in range(layers):
@@ -62,16 +65,16 @@ def build(points: DataFrame, config: HnswConfig = HnswConfig(), metric_name: str
     return reduce(DataFrame.unionByName, out)
 
 
-def entries(points: DataFrame, queries: DataFrame, count: int = 4, seed: int = 42) -> DataFrame:
-    """Entry nodes, the same for every query: the ``count`` first by a seeded hash.  ``points`` holds eligible rows only."""
-    first = points.select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(count)
-    return queries.select("query_id").join(F.broadcast(first), F.lit(True))  # first has ``count`` rows
+def entries(points: DataFrame, queries: DataFrame, number: int = 4, seed: int = 42) -> DataFrame:
+    """Entry nodes, the same for every query: the ``number`` first by a seeded hash.  ``points`` holds eligible rows only."""
+    first = points.select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(number)
+    return queries.select("query_id").join(F.broadcast(first), F.lit(True))  # first has ``number`` rows
 
 
-def beam(edges: DataFrame, points: DataFrame, queries: DataFrame, start: DataFrame, ef: int, hops: int, metric_name: str = "cosine", eligible: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Ef-bounded search of one layer in ``hops`` rounds: (query_id, vec_id, distance).
+def beam(edges: DataFrame, points: DataFrame, queries: DataFrame, start: DataFrame, ef: int, hops: int | None = None, metric_name: str = "cosine", eligible: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Ef-bounded search of one layer until no query has a new node, or for ``hops`` rounds: (query_id, vec_id, distance).
 
-    Nodes that are not eligible are crossed but not returned.
+    Nodes that are not eligible are crossed but not returned; each query keeps its ef best of either kind.
     """
     vectors = points.select("vec_id", "embedding", (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("ok"))
     asked = queries.select("query_id", "q")
@@ -79,22 +82,36 @@ def beam(edges: DataFrame, points: DataFrame, queries: DataFrame, start: DataFra
     scratch = scratch or Scratch(points.sparkSession, "beam")
     visited = scratch.save(scored(start.select("query_id", "vec_id").distinct()), "round-0")
     frontier = visited
-    for hop in range(1, hops + 1):
+    for hop in count(1) if hops is None else range(1, hops + 1):
         ahead = frontier.select("query_id", F.col("vec_id").alias("src")).join(edges.select("src", "dst"), "src").select("query_id", F.col("dst").alias("vec_id")).distinct()
         new = scored(ahead.join(visited.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")).withColumn("new", F.lit(True))
-        kept = top_k_per_query(visited.withColumn("new", F.lit(False)).unionByName(new), ef).drop("rank")
+        w = Window.partitionBy("query_id", "ok").orderBy("distance", "vec_id")
+        kept = visited.withColumn("new", F.lit(False)).unionByName(new).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ef).drop("rank")
         kept = scratch.save(kept, f"round-{hop}")
         visited, frontier = kept.drop("new"), kept.where("new").drop("new")
+        if hops is None and frontier.isEmpty():
+            break
     return visited.where("ok").drop("ok")
 
 
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, config: HnswConfig = HnswConfig(), metric_name: str = "cosine", ef: int | None = None, hops: int = 4, eligible: Column | None = None, layers: int = 3) -> DataFrame:
-    """Greedy descent through the upper layers (ef 1), then layer 0 with max(ef, k, ef_search)."""
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, config: HnswConfig = HnswConfig(), metric_name: str = "cosine", ef: int | None = None, hops: int | None = None, eligible: Column | None = None, layers: int | None = None) -> DataFrame:
+    """Greedy descent through the upper layers (ef 1), then layer 0 with max(ef, k, ef_search).
+
+    Queries for which the walk finds fewer than k eligible rows are answered exactly.
+    """
+    if layers is None:
+        layers = 1 + (graph.agg(F.max("layer")).first()[0] or 0)
     start = entries(points if eligible is None else points.where(eligible), queries, seed=config.seed)
+    top = graph.where(F.col("layer") == layers - 1).select(F.col("src").alias("vec_id")).distinct()
+    start = start.union(entries(top, queries, seed=config.seed)).distinct()
     for layer in range(layers - 1, 0, -1):
-        got = beam(graph.where(F.col("layer") == layer), points, queries, start, 1, 2, metric_name)
+        got = beam(graph.where(F.col("layer") == layer), points, queries, start, 1, None, metric_name)
         start = got.select("query_id", "vec_id").union(start).distinct()
     found = beam(graph.where(F.col("layer") == 0), points, queries, start, max(ef or 0, k, config.ef_search), hops, metric_name, eligible)
+    if eligible is not None:
+        full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+        exact = knn_join(points, queries.join(full, "query_id", "left_anti"), k, metric_name, eligible)
+        found = found.join(full, "query_id", "left_semi").unionByName(exact.drop("rank"))
     return top_k_per_query(found, k)
 
 
