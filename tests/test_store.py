@@ -126,3 +126,11 @@ def test_derived_tables(spark, db):
     c.upsert(["a"], [[1, 0]])
     c.stored.write_derived("cells", c.points().select("vec_id", F.lit(0).alias("layer")), "layer")
     assert c.stored.derived("cells").count() == 1 and c.stored.derived("nothing") is None
+
+
+def test_top_k_is_not_cut():
+    from vectorlake.collection import Collection
+
+    c = object.__new__(Collection)
+    c.queries, c._named, c._search = lambda vectors: vectors, lambda hits: hits, lambda asked, k, *rest: k
+    assert c.query_batch([[0.0]], 200_000, index="flat") == 200_000

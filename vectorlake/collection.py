@@ -14,8 +14,6 @@ from .plans import planner
 from .sources.store import Store, StoredCollection
 from .types import CollectionConfig, DimensionMismatch
 
-MAX_K = 100_000
-
 
 class Collection:
     def __init__(self, stored: StoredCollection):
@@ -89,7 +87,7 @@ class Collection:
 
     def query_batch(self, vectors: Sequence[Sequence[float]], top_k: int = 10, filter: Any = None, index: str | None = None, ef: int | None = None, nprobe: int | None = None) -> DataFrame:
         """query_id, id, internal_id, distance, score, metadata, rank.  ``index`` overrides the collection's kind; "flat" is exact."""
-        return self._named(self._search(self.queries(vectors), min(top_k, MAX_K), filter, index or self.config.index, ef, nprobe))
+        return self._named(self._search(self.queries(vectors), top_k, filter, index or self.config.index, ef, nprobe))
 
     def _search(self, asked: DataFrame, k: int, filter: Any, kind: str, ef: int | None, nprobe: int | None) -> DataFrame:
         c, name = self.config, self.config.metric
