@@ -33,8 +33,6 @@ from .shingles import WordHashes, grams, mixed
 GRAM = 8
 GROUP = 400
 FINER = 4
-#: Windows of one run at most; longer ones (periodic texts) are cut.
-RUN = 28
 #: Words of one index, about.
 SHARD_WORDS = 300_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -67,29 +65,34 @@ def window_keys(hashes: np.ndarray, window: int, level: int) -> np.ndarray:
     return key
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def longest_run(window: int) -> int:
+    """The windows that can share one place of a gram; longer runs (periodic texts) are cut.  Any shorter bound would cut ordinary runs into pieces with one key, which then looks repeated."""
+    return window - min(GRAM, window) + 1
+
+
+def runs(keys: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(first window, number of windows) of the runs of equal keys."""
     n = len(keys)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     change = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.r_[change, n])
-    if length.max() <= RUN:
+    if length.max() <= longest:
         return change, length
-    pieces = -(-length // RUN)
+    pieces = -(-length // longest)
     inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(change, pieces) + inside * RUN
-    return start, np.minimum(RUN, np.repeat(change + length, pieces) - start)
+    start = np.repeat(change, pieces) + inside * longest
+    return start, np.minimum(longest, np.repeat(change + length, pieces) - start)
 
 
 def _weights(words: list[bytes], hashes: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
-    """1 for each run, 2 for one that may repeat its own windows: at a distance below RUN, hence with few different words."""
+    """1 for each run, 2 for one that may repeat its own windows: at a distance below the longest run, hence with few different words."""
     out = np.ones(len(start), np.int32)
     if len(start):
         g = grams(hashes, min(GRAM, window))
         if len(np.unique(g)) < len(g):
             for i, (s, c) in enumerate(zip(start.tolist(), count.tolist())):
-                if c > 1 and len(set(words[s : s + c + window - 1])) <= RUN:
+                if c > 1 and len(set(words[s : s + c + window - 1])) <= longest_run(window):
                     out[i] = 2
     return out
 
@@ -157,8 +160,8 @@ def _match(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             if n > 1:
                 out_d.append(d)
                 out_r.append([0, run.count(b" ") + 1])
-        # A lone run can only repeat its own windows, at a distance below RUN, and then has few different words.
-        if any(n == 1 for _, _, n in group) and (len(group) > 1 or len(set(group[0][1].split(b" "))) <= RUN):
+        # A lone run can only repeat its own windows, at a distance below the longest run, and then has few different words.
+        if any(n == 1 for _, _, n in group) and (len(group) > 1 or len(set(group[0][1].split(b" "))) <= longest_run(window)):
             shard.extend(group)
             held += sum(run.count(b" ") + 2 for _, run, _ in group)
         group.clear()
@@ -200,7 +203,7 @@ def find(docs: DataFrame, scratch: Scratch, window: int, id_col: str, text_col:
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 hashes = known.of(words)
                 k = window_keys(hashes, window, 0)
-                s, c = runs(k)
+                s, c = runs(k, longest_run(window))
                 weights.append(_weights(words, hashes, s, c, window))
                 keys.append(k[s])
                 starts.append(s)
@@ -304,7 +307,7 @@ def _shards(different: DataFrame, level: int, window: int, scratch: Scratch) ->
             for d, run, n in zip(b.column("digest").to_pylist(), b.column("run").to_pylist(), b.column("n").to_pylist(), strict=True):
                 words = run.split(b" ")
                 k = window_keys(known.of(words), window, level + 1)
-                first, count = (np.arange(len(k)), np.ones(len(k), np.int64)) if level + 1 == 2 else runs(k)
+                first, count = (np.arange(len(k)), np.ones(len(k), np.int64)) if level + 1 == 2 else runs(k, longest_run(window))
                 for s, c in zip(first.tolist(), count.tolist()):
                     text = b" ".join(words[s : s + c + window - 1])
                     parents.append(d)
