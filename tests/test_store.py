@@ -73,6 +73,7 @@ def test_every_index_kind_finds_itself(db, kind):
     c = db.create(kind, 8, "cosine", kind)
     v = [[math.sin(0.37 * (i + 1) * (j + 1)) for j in range(8)] for i in range(90)]
     c.upsert([f"p{i}" for i in range(90)], v, [{"i": i} for i in range(90)])
+    c.persist()
     got = c.query(v[17], 3, ef=64, nprobe=64).collect()
     assert got[0]["id"] == "p17" and len(got) == 3
     plan = c.explain(v[17], 3, {"i": {"$lt": 10}})
@@ -134,3 +135,94 @@ def test_top_k_is_not_cut():
     c = object.__new__(Collection)
     c.queries, c._named, c._search = lambda vectors: vectors, lambda hits: hits, lambda asked, k, *rest: k
     assert c.query_batch([[0.0]], 200_000, index="flat") == 200_000
+
+
+def test_a_failed_write_leaves_nothing(spark, db, monkeypatch):
+    """FX12, with a driver that is lost before the manifest changes."""
+    c = db.create("crash", 2, "l2", "flat")
+    swap = S.StoredCollection._swap
+    monkeypatch.setattr(S.StoredCollection, "_swap", lambda self, m: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        c.upsert(["ghost"], [[1, 1]])
+    monkeypatch.setattr(S.StoredCollection, "_swap", swap)
+    c.upsert(["good"], [[2, 2]])
+    assert [(r["id"], r["vec_id"]) for r in c.points().collect()] == [("good", 0)] and c.wal_pending() == 1
+    c.persist()
+    c.compact()
+    assert [r["id"] for r in db.get("crash").points().collect()] == ["good"]
+    db.store.open("crash").check()
+
+
+def test_two_writers_do_not_undo_each_other(spark, db, monkeypatch):
+    from vectorlake.types import ConcurrentWrite
+
+    c = db.create("race", 2)
+    numbered = S._numbered
+
+    def meanwhile(rows, first):
+        monkeypatch.setattr(S, "_numbered", numbered)
+        db.get("race").upsert(["other"], [[1, 0]])
+        return numbered(rows, first)
+
+    monkeypatch.setattr(S, "_numbered", meanwhile)
+    with pytest.raises(ConcurrentWrite):
+        c.upsert(["mine"], [[0, 1]])
+    assert [r["id"] for r in c.points().collect()] == ["other"]
+
+
+def test_sealed_reads_are_narrow(db):
+    c = db.create("narrow", 2, "l2", "flat")
+    c.upsert(["a", "b"], [[1, 0], [0, 1]], texts=["x", "y"])
+    c.persist()
+    plan = c.points().select("vec_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "text" not in plan.split("ReadSchema")[-1]
+    c.upsert(["a"], [[2, 0]])
+    c.persist()  # two segments: the winners are found from ids and numbers
+    plan = c.points().select("vec_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.replace("ReadSchema", "\n").split("\n", 1)[1]
+    assert sorted((r["id"], r["embedding"][0]) for r in c.points().collect()) == [("a", 2.0), ("b", 0.0)]
+
+
+@pytest.mark.parametrize("kind", ["ivf", "grid", "hnsw"])
+def test_stored_index_follows_changes(db, kind, monkeypatch):
+    import math
+
+    from vectorlake.collection import Collection
+
+    c = db.create(f"kept-{kind}", 8, "cosine", kind)
+    v = [[math.sin(0.37 * (i + 1) * (j + 1)) for j in range(8)] for i in range(120)]
+    c.upsert([f"p{i}" for i in range(120)], v)
+    c.persist()
+    c.build_index()
+    written = []
+    kept = S.StoredCollection.write_derived
+    monkeypatch.setattr(S.StoredCollection, "write_derived", lambda self, *a: (written.append(a[0]), kept(self, *a)))
+    c.delete(["p17"])
+    c.upsert(["p50"], [v[17]])
+    assert ids(c.query(v[17], 1, ef=64, nprobe=64)) == ["p50"]
+    assert ids(Collection(db.store.open(f"kept-{kind}")).query(v[30], 1, ef=64, nprobe=64)) == ["p30"] and not written
+
+
+def test_sharded_collection(spark, db):
+    """FX31: forty rows in four shards; changes after the checkpoint; reopening."""
+    import math
+
+    c = db.create_sharded("s", 8, 4, "cosine")
+    v = [[math.sin(0.13 * (i + d)) for d in range(8)] for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, embedding array<float>")
+    c.upsert_rows(frame([(f"p{i}", v[i]) for i in range(40)]))
+    c.checkpoint()
+    assert c.count() == 40 and ids(c.query_batch([v[7]], 1, radius=1)) == ["p7"]
+    shard = {r["id"]: r["shard_id"] for r in c.placements().collect()}
+    assert len(shard) == 40 and set(shard.values()) <= set(range(4))
+    plan = c._folders().where(F.col("shard_id") == shard["p7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard_id" in plan
+    c.delete(["p7"])
+    c.upsert_rows(frame([("new", v[7])]))
+    again = db.get_sharded("s", 4)
+    assert again.count() == 40 and ids(again.query_batch([v[7]], 1)) == ["new"]
+    again.checkpoint()
+    assert ids(again.query_batch([v[7]], 1)) == ["new"]
+    db.delete("s")
+    with pytest.raises(NotFound):
+        db.get_sharded("s", 4)

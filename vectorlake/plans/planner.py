@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..operators.filters import is_index_eligible, parse
 
 
@@ -26,6 +29,12 @@ def choose(rows: int, dimension: int, k: int, filtered: bool = False) -> Plan:
     return Plan("hnsw", max(64, 4 * k), "proximity graph")
 
 
+def index_for(rows: Column, dimension: Column, filtered: Column) -> Column:
+    """``choose(...).index`` for each row of a table of collections."""
+    flat = (rows < 500) | filtered & (rows < 5000)
+    return F.when(flat, "flat").when((dimension >= 64) & (rows >= 1000), "grid").otherwise("hnsw")
+
+
 def strategy(filter_spec: Any, eligible: int | None, k: int) -> str:
     """How a filter is applied.  Filters always restrict the rows before the choice, so results hold k rows where k match."""
     if filter_spec is None:

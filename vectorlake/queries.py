@@ -1,6 +1,7 @@
 """One query for each operator over the driver's tables, and the SQL that gives the same rows.
 
-Points are the embeddings with the document and labels of the same number as metadata.  Query vectors are the first rows.
+Points are the embeddings with the document and labels of the same number as metadata.  Queries are all rows whose id is
+divisible by 100: of the embeddings for vectors, of the benchmark for texts, of the points for both at once.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from .sources import store as S
 from .sources.scratch import Scratch, shared_dir
 from .types import CollectionConfig, GridConfig, HnswConfig, IvfConfig
 
-N_QUERIES, K, DIM = 20, 10, 64
-GRID = GridConfig()
-QUERY_TEXTS = ["the of and", "der und", "le de que", "license version"]
+K, DIM = 10, 64
+GRID = GridConfig(touch_budget_frac=0.8)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,12 +51,12 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return e.join(docs, e.vec_id == docs.doc_id, "left").join(labels, F.col("vec_id") == F.col("label_id"), "left").drop("doc_id", "label_id")
 
 
-def asked(spark: SparkSession, d: str, n: int = N_QUERIES) -> DataFrame:
-    return emb(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return emb(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
 
 
-def texts_asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUERY_TEXTS)), "query_id long, text string")
+def texts_asked(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def vector_of(spark: SparkSession, d: str, i: int = 0) -> list[float]:
@@ -66,7 +66,7 @@ def vector_of(spark: SparkSession, d: str, i: int = 0) -> list[float]:
 # SQL pieces
 
 _E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-_Q = f"q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < {N_QUERIES})"
+_Q = "q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 100 = 0)"
 _P = "p AS (SELECT e.vec_id, e.v, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id)"
 
 
@@ -209,7 +209,7 @@ _DL = f"dl AS (SELECT doc_id, len({_TOK}) AS dl FROM documents)"
 _ST = "st AS (SELECT count(*) AS n, greatest(avg(dl), 1e-6::DOUBLE) AS avgdl FROM dl)"
 _DF = "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
 _IDF = "ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)"
-_TQ = "tq AS (SELECT DISTINCT query_id, unnest(string_split(t, ' ')) AS term FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(QUERY_TEXTS)) + ") AS z(query_id, t))"
+_TQ = f"tq AS (SELECT DISTINCT query_id, unnest({_TOK}) AS term FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0))"
 _BM = f"""bm AS (SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, sum({_IDF} * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
 FROM tq JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY query_id, doc_id)"""
 _LEX = f"{_TF}, {_DL}, {_ST}, {_DF}, {_TQ}, {_BM}"
@@ -243,7 +243,7 @@ _LEX_OUT = "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
 
 
 def _rounded_search(spark, d, where=None):
-    s = sparse.bm25(docs(spark, d), texts_asked(spark), where=where).withColumn("score", r6("score"))
+    s = sparse.bm25(docs(spark, d), texts_asked(spark, d), where=where).withColumn("score", r6("score"))
     return _lex_out(exact.top_k_per_query(s, 20, "score", "doc_id", descending=True))
 
 
@@ -259,11 +259,11 @@ def sparse_filtered(spark, d):
 
 # fusion
 
-_HQ = "q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < 4)"
+_HTQ = f"tq AS (SELECT DISTINCT query_id, unnest({_TOK}) AS term FROM (SELECT vec_id AS query_id, text FROM p WHERE vec_id % 100 = 0))"
 
 
 def _hybrid_sql(how: str, where: str = "true") -> str:
-    lex = _LEX.replace("FROM documents", "FROM pd").replace("JOIN documents", "JOIN pd")
+    lex = _LEX.replace(_TQ, _HTQ).replace("FROM documents", "FROM pd").replace("JOIN documents", "JOIN pd")
     dense = _top(_pairs("cosine", where, "p"), 50)
     lexical = _top(f"SELECT query_id, doc_id AS vec_id, score FROM bm JOIN p ON p.vec_id = bm.doc_id WHERE {where}", 50, "score DESC, vec_id")
     scaled = lambda src, s: f"SELECT query_id, vec_id, CASE WHEN max(s) OVER w - min(s) OVER w <= 1e-9::DOUBLE THEN 1.0::DOUBLE ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS s FROM (SELECT *, {s} AS s FROM {src}) WINDOW w AS (PARTITION BY query_id)"
@@ -272,13 +272,13 @@ def _hybrid_sql(how: str, where: str = "true") -> str:
     else:
         fused = f"SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.vec_id) AS vec_id, coalesce(a.s, 0) * 0.5::DOUBLE + coalesce(b.s, 0) * 0.5::DOUBLE AS fused FROM ({scaled('dn', '-distance')}) a FULL JOIN ({scaled('lx', 'score')}) b ON a.query_id = b.query_id AND a.vec_id = b.vec_id"
     best = _top("SELECT query_id, vec_id, fused FROM fu", K, "fused DESC, vec_id")
-    return f"""WITH {_E}, {_HQ}, {_P}, pd AS (SELECT vec_id AS doc_id, text, lang FROM p), {lex}, dn AS ({dense}), lx AS ({lexical}), fu AS ({fused}), be AS ({best})
+    return f"""WITH {_E}, {_Q}, {_P}, pd AS (SELECT vec_id AS doc_id, text, lang FROM p), {lex}, dn AS ({dense}), lx AS ({lexical}), fu AS ({fused}), be AS ({best})
 SELECT be.query_id, be.vec_id, {_r(_dist('cosine', 'p.v', 'q.q'))} AS distance, {_r('fused')} AS score, CAST(be.rank AS INTEGER) AS rank FROM be JOIN p USING (vec_id) JOIN q ON q.query_id = be.query_id"""
 
 
 def _hybrid(spark, d, how, spec=None):
     p = points(spark, d)
-    q = asked(spark, d, 4).join(texts_asked(spark), "query_id")
+    q = asked(spark, d).join(p.select(F.col("vec_id").alias("query_id"), "text"), "query_id")
     got = fusion.hybrid(p, q, K, "cosine", how, where=filters.predicate(p, spec) if spec else None)
     return got.select("query_id", "vec_id", r6("distance").alias("distance"), r6("score").alias("score"), F.col("rank").cast("int").alias("rank"))
 
@@ -442,9 +442,9 @@ def _beam_targets() -> str:
         inside = " AND ".join(f"{a} >= {layer.origin}::DOUBLE AND {a} < {layer.origin + layer.extent}::DOUBLE" for a in ("px", "py"))
         ax = lambda a, n, layer=layer: f"least({n - 1}, CAST(floor(({a} - {layer.origin}::DOUBLE) / {layer.extent}::DOUBLE * {n}) AS INTEGER))"
         parts.append(
-            f"SELECT vec_id AS query_id, '{layer.number}:' || x || ':' || y AS cell_key FROM (SELECT vec_id, {ax('px', layer.width)} AS ox, {ax('py', layer.height)} AS oy FROM pr WHERE vec_id < {N_QUERIES} AND {inside}), range({layer.width}) a(x), range({layer.height}) b(y) WHERE abs(x - ox) <= 1 AND abs(y - oy) <= 1"
+            f"SELECT vec_id AS query_id, '{layer.number}:' || x || ':' || y AS cell_key FROM (SELECT vec_id, {ax('px', layer.width)} AS ox, {ax('py', layer.height)} AS oy FROM pr WHERE vec_id % 100 = 0 AND {inside}), range({layer.width}) a(x), range({layer.height}) b(y) WHERE abs(x - ox) <= 1 AND abs(y - oy) <= 1"
         )
-    return "tg AS (SELECT DISTINCT query_id, " + _HASH + " AS shard_id FROM (" + " UNION ALL ".join(parts) + f" UNION ALL SELECT vec_id, cell_key FROM ce WHERE vec_id < {N_QUERIES}))"
+    return "tg AS (SELECT DISTINCT query_id, " + _HASH + " AS shard_id FROM (" + " UNION ALL ".join(parts) + f" UNION ALL SELECT vec_id, cell_key FROM ce WHERE vec_id % 100 = 0))"
 
 
 @query(f"WITH {_E}, {_Q}, {_CE}, {_beam_targets()}, sh AS (SELECT vec_id, v, {_HASH} AS shard_id FROM ce) " + _ranked_out(_top(f"SELECT tg.query_id, sh.vec_id, {_dist('cosine', 'sh.v', 'q.q')} AS distance FROM tg JOIN sh USING (shard_id) JOIN q ON q.query_id = tg.query_id")))
@@ -471,14 +471,14 @@ def ivf_label_probe(spark, d):
 
 @query()
 def ivf_trained_probe(spark, d):
-    config = IvfConfig(nlist=16, nprobe=4)
+    config = IvfConfig(nlist=16, nprobe=14)  # the vectors have hardly any clusters
     c = ivf.train(emb(spark, d), config)
     return _hits(ivf.search(ivf.assign(emb(spark, d), c), asked(spark, d), ivf.centroid_table(spark, c), K, config.nprobe))
 
 
 @query()
 def pq_adc_topk(spark, d):
-    config = IvfConfig(nlist=16, nprobe=8).with_pq(16)
+    config = IvfConfig(nlist=16, nprobe=14).with_pq(16)
     e = emb(spark, d)
     c = ivf.train(e, config)
     book = ivf.train_codebook(e, config)
@@ -546,24 +546,38 @@ def segment_dedupe(spark, d):
     return S.latest(rows, "id", "version").select("id", "segment", "seq")
 
 
-@query(f"WITH {_LOG} SELECT DISTINCT id FROM lg WHERE op = 'upsert' AND id NOT IN (SELECT id FROM lg WHERE op = 'delete' AND id IS NOT NULL)")
+@query("WITH lg AS (SELECT event_id // 10 AS id, event_type FROM events) SELECT DISTINCT id FROM lg WHERE event_type <> 'error' AND id NOT IN (SELECT id FROM lg WHERE event_type = 'error')")
 def tombstone_antijoin(spark, d):
-    log = change_log(spark, d)
-    return log.where("op = 'upsert'").select("id").distinct().join(log.where("op = 'delete'").select("id").distinct(), "id", "left_anti")
+    """Ten events each write one row; an error among them is a tombstone."""
+    log = spark.read.parquet(f"{d}/events.parquet").select(F.floor(F.col("event_id") / 10).alias("id"), "event_type")
+    return log.where("event_type <> 'error'").select("id").distinct().join(log.where("event_type = 'error'").select("id").distinct(), "id", "left_anti")
 
 
-@query(f"WITH {_LOG} SELECT CAST(count(*) AS BIGINT) AS lag FROM lg WHERE seq > 500")
+def _new_collection(spark, **options):
+    import uuid
+
+    return S.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}").create(CollectionConfig("points", DIM, **options))
+
+
+@query("SELECT CAST(count(*) FILTER (vec_id % 3 = 0) AS BIGINT) AS lag, CAST(count(*) FILTER (vec_id % 3 = 0 AND vec_id % 5 = 0) AS BIGINT) AS deletes, CAST(0 AS BIGINT) AS after_checkpoint FROM embeddings WHERE vec_id % 3 = 0")
 def wal_lag(spark, d):
-    return change_log(spark, d).where("seq > 500").agg(F.count(F.lit(1)).alias("lag"))
+    """Records of a collection's change log since its last checkpoint."""
+    coll = _new_collection(spark)
+    rows = emb(spark, d).select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding")
+    coll.upsert(rows.select("id", "embedding"))
+    coll.checkpoint()
+    coll.upsert(rows.where("vec_id % 3 = 0 AND vec_id % 5 <> 0").select("id", "embedding"))
+    coll.delete(rows.where("vec_id % 15 = 0").select("id"))
+    lag, deletes = coll.wal_lag(), coll.log().where("op = 'delete'").count()
+    coll.checkpoint()
+    return spark.createDataFrame([(lag, deletes, coll.wal_lag())], "lag long, deletes long, after_checkpoint long")
 
 
 @query(f"WITH {_E} SELECT CAST(vec_id AS VARCHAR) AS id, {_r('CASE WHEN vec_id % 3 = 0 THEN 2 * v[1] ELSE v[1] END')} AS first, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS text FROM e WHERE vec_id % 5 <> 4")
 def store_roundtrip(spark, d):
     """Upsert, checkpoint, re-upsert of a third, delete of a fifth, checkpoint, compaction."""
-    import uuid
-
     e = emb(spark, d)
-    coll = S.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}").create(CollectionConfig("points", DIM))
+    coll = _new_collection(spark)
     coll.upsert(e.select(F.col("vec_id").cast("string").alias("id"), "embedding", F.lit("old").alias("text")))
     coll.checkpoint()
     third = e.where("vec_id % 3 = 0").select(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: 2 * x).alias("embedding"), F.lit("new").alias("text"))
@@ -624,7 +638,57 @@ def localization_cdf(spark, d):
     return got.select(F.col("columns").cast("int").alias("columns"), r6("share").alias("share"))
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(dim AS INTEGER) AS dim, f AS filtered, CASE WHEN n < 500 OR f AND n < 5000 THEN 'flat' WHEN dim >= 64 AND n >= 1000 THEN 'grid' ELSE 'hnsw' END AS index FROM (VALUES (100), (600), (4999), (10000)) a(n), (VALUES (32), (64), (128)) b(dim), (VALUES (true), (false)) c(f)")
+@query("WITH p AS (SELECT d.source, len(e.embedding) AS dim FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id) SELECT source, n, dim, f AS filtered, CASE WHEN n < 500 OR f AND n < 5000 THEN 'flat' WHEN dim >= 64 AND n >= 1000 THEN 'grid' ELSE 'hnsw' END AS index FROM (SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(max(dim) AS INTEGER) AS dim FROM p GROUP BY GROUPING SETS ((source), ())) a, (VALUES (true), (false)) c(f)")
 def planner_choice(spark, d):
-    rows = [(n, dim, f, planner.choose(n, dim, 10, f).index) for n in (100, 600, 4999, 10000) for dim in (32, 64, 128) for f in (True, False)]
-    return spark.createDataFrame(rows, "n int, dim int, filtered boolean, index string")
+    """The index for each source's points and for all, with a filter and without."""
+    sizes = points(spark, d).rollup("source").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"))
+    both = sizes.withColumn("filtered", F.explode(F.array(F.lit(True), F.lit(False))))
+    return both.select("source", "n", "dim", "filtered", planner.index_for(F.col("n"), F.col("dim"), F.col("filtered")).alias("index"))
+
+
+# stored indexes and their recall
+
+
+#: Each index with the parameters of its query above.
+_INDEXES = ("grid_search", "ivf_trained_probe", "pq_adc_topk", "graph_search")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', true)" for x in _INDEXES) + ") AS z(name, recalled)")
+def index_recall(spark, d):
+    """Whether each approximate index finds 0.9 or more of the exact neighbours of all queries."""
+    rows = emb(spark, d)
+    metric = {"grid_search": "cosine", "graph_search": "cosine"}
+    exact_of = {m: Scratch(spark, f"exact-{m}").save(exact.knn_join(rows, asked(spark, d), K, m), "hits") for m in ("cosine", "l2")}
+    out = None
+    for name in _INDEXES:
+        recall = evaluate.recall_at_k(QUERIES[name](spark, d), exact_of[metric.get(name, "l2")], K)
+        one = recall.select(F.lit(name).alias("name"), (F.col("recall") >= 0.9).alias("recalled"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _stored_search(kind: str):
+    """A collection with a stored index, changed after the checkpoint: a third re-written, a fifth deleted."""
+    where = "NOT (vec_id % 5 = 4)"
+    sql = f"WITH {_E}, {_Q}, n AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(v) ELSE v END AS v FROM e WHERE {where}) " + _ranked_out(_top(_pairs("cosine", "true", "n")))
+
+    def run(spark, d):
+        from .collection import Collection
+
+        coll = _new_collection(spark, metric="cosine", index=kind, ivf=IvfConfig(nlist=16, nprobe=16))
+        e = emb(spark, d).select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding")
+        coll.upsert(e.select("id", "embedding"))
+        coll.checkpoint()
+        c = Collection(coll)
+        c.build_index()
+        coll.upsert(e.where("vec_id % 3 = 0").select("id", F.reverse("embedding").alias("embedding")))
+        coll.delete(e.where("vec_id % 5 = 4").select("id"))
+        got = c.search_frame(asked(spark, d), K)
+        return got.select("query_id", F.col("id").cast("long").alias("vec_id"), r6("distance").alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+    run.__name__ = f"stored_{kind}_search"
+    query(sql if kind == "ivf" else None)(run)
+
+
+for _k in ("ivf", "grid", "hnsw"):
+    _stored_search(_k)

@@ -8,6 +8,7 @@ Files are reached through Hadoop's file-system API, so any store that Spark read
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..types import AlreadyExists, CollectionConfig, InvalidConfig, NotFound
+from ..types import AlreadyExists, CollectionConfig, ConcurrentWrite, InvalidConfig, NotFound
 
 DEFAULT_NAMESPACE = "_default"
 #: A checkpoint compacts at so many segments or tombstones.
@@ -94,7 +95,7 @@ class Store:
         name = qualified(config.name, namespace)
         if self.exists(name):
             raise AlreadyExists(name)
-        self.files.write(f"collections/{name}/manifest.json", json.dumps({"config": config.to_dict(), "next_seq": 1, "sealed_seq": 0, "next_id": 0, "segments": [], "deleted": 0}))
+        self.files.write(f"collections/{name}/manifest.json", json.dumps({"config": config.to_dict(), "next_seq": 1, "sealed_seq": 0, "next_id": 0, "segments": [], "logs": [], "deleted": 0}))
         return StoredCollection(self, name)
 
     def exists(self, name: str, namespace: str = "") -> bool:
@@ -165,6 +166,12 @@ def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
+def latest_wide(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """As ``latest`` for wide rows: the winners are found from the key and the number alone, and rows that lost go before the wide columns move."""
+    best = rows.groupBy(key).agg(F.max(order).alias("_best")).withColumnRenamed(key, "_key")
+    return rows.join(best, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_best")), "left_semi")
+
+
 def replay(log: DataFrame, after: int = 0) -> DataFrame:
     """Net effect of the log records after a sequence number: ROW columns, one row for each id.
 
@@ -214,12 +221,18 @@ class StoredCollection:
 
     # change log
 
-    def _append(self, rows: DataFrame, count: int, ids: int) -> None:
-        m = self.manifest()
-        rows.select(*[c.split()[0] for c in LOG.split(", ")]).write.mode("append").parquet(f"{self.path}/log/{m['next_seq']:020d}")
-        m["next_seq"] += count
-        m["next_id"] += ids
-        self._swap(m)
+    def _append(self, rows: DataFrame, m: dict) -> None:
+        """Writes records, numbered after manifest ``m``, to a folder of their own; only the manifest's swap makes them part of the log, so a failed write leaves nothing behind."""
+        folder = f"{m['next_seq']:020d}-{uuid.uuid4().hex[:8]}"
+        rows.select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(f"{self.path}/log/{folder}")
+        written = self.spark.read.schema(LOG).parquet(f"{self.path}/log/{folder}").agg(F.count(F.lit(1)).alias("n"), F.count("vec_id").alias("ids")).first()
+        now = self.manifest()
+        if (now["next_seq"], now["segments"]) != (m["next_seq"], m["segments"]):
+            raise ConcurrentWrite(f"{self.name} was changed while rows were written")
+        now["logs"] = [*now["logs"], folder]
+        now["next_seq"] += written["n"]
+        now["next_id"] += written["ids"]
+        self._swap(now)
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows of id, embedding and optionally metadata (JSON) and text, as one log file.  A repeated id's last row by text order of its fields counts."""
@@ -232,24 +245,22 @@ class StoredCollection:
         told = rows.select("id", checked.alias("embedding"), *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("metadata", "text")])
         told = told.withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
         numbered = _numbered(told, m["next_seq"])
-        n = rows.count()
-        numbered = numbered.select("*", F.lit("upsert").alias("op"), (F.col("seq") - m["next_seq"] + m["next_id"]).alias("vec_id"))
-        self._append(numbered, n, n)
+        self._append(numbered.select("*", F.lit("upsert").alias("op"), (F.col("seq") - m["next_seq"] + m["next_id"]).alias("vec_id")), m)
 
     def delete(self, ids: Sequence[str] | DataFrame, missing_ok: bool = False) -> None:
         """Fails on ids that are not there unless ``missing_ok``."""
+        m = self.manifest()
         gone = ids.select("id").distinct() if isinstance(ids, DataFrame) else self.spark.createDataFrame([(x,) for x in dict.fromkeys(ids)], "id string")
         if not missing_ok and (lost := gone.join(self.points(), "id", "left_anti").take(1)):
             raise NotFound(lost[0]["id"])
-        n = gone.count()
         blank = gone.select("id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("text"))
-        self._append(_numbered(blank, self.manifest()["next_seq"]).select("*", F.lit("delete").alias("op"), F.lit(None).cast("long").alias("vec_id")), n, 0)
+        self._append(_numbered(blank, m["next_seq"]).select("*", F.lit("delete").alias("op"), F.lit(None).cast("long").alias("vec_id")), m)
 
     def log(self, after: int | None = None) -> DataFrame:
         """Log records after a sequence number (default: those not sealed yet)."""
         m = self.manifest()
         after = m["sealed_seq"] if after is None else after
-        files = [f for f in self.store.files.folders(f"{self._at}/log")]
+        files = m["logs"]
         if not files:
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(*[f"{self.path}/log/{f}" for f in files]).where((F.col("seq") > after) & (F.col("seq") < m["next_seq"]))
@@ -265,11 +276,13 @@ class StoredCollection:
         segments = self.manifest()["segments"]
         if not segments:
             return self.spark.createDataFrame([], ROW)
-        return latest(self.spark.read.schema(ROW).parquet(*[f"{self.path}/segments/{s}" for s in segments]))
+        rows = self.spark.read.schema(ROW).parquet(*[f"{self.path}/segments/{s}" for s in segments])
+        return rows if len(segments) == 1 else latest_wide(rows)  # a segment holds each id once
 
     def points(self) -> DataFrame:
         """Live rows: id, vec_id, embedding, metadata, text.  Sealed rows with the open log on top."""
-        return merged(self.sealed(), replay(self.log())).where("not deleted").drop("deleted", "seq")
+        rows = merged(self.sealed(), replay(self.log())) if self.manifest()["logs"] else self.sealed()
+        return rows.where("not deleted").drop("deleted", "seq")
 
     def count(self) -> int:
         return self.points().count()
@@ -286,7 +299,7 @@ class StoredCollection:
             touched = merged(base.join(changes.select("id"), "id", "left_semi"), changes)
             name = f"{m['next_seq']:020d}-{uuid.uuid4().hex[:8]}"
             touched.select(*[c.split()[0] for c in ROW.split(", ")]).write.parquet(f"{self.path}/segments/{name}")
-            old_logs = self.store.files.folders(f"{self._at}/log")
+            old_logs, m["logs"] = self.store.files.folders(f"{self._at}/log"), []  # leftovers of failed writes among them
             m["segments"].append(name)
             m["sealed_seq"] = m["next_seq"] - 1
             m["deleted"] += self.spark.read.schema(ROW).parquet(f"{self.path}/segments/{name}").where("deleted").count()
@@ -319,6 +332,10 @@ class StoredCollection:
         writer = table.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.path}/derived/{name}")
 
+    def version(self) -> str:
+        """Changes with the sealed segments; names the tables that are derived from them."""
+        return hashlib.md5("/".join(self.manifest()["segments"]).encode()).hexdigest()[:16]
+
     def derived(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/derived/{name}") if self.store.files.exists(f"{self._at}/derived/{name}") else None
 
@@ -337,5 +354,5 @@ def _numbered(rows: DataFrame, first: int) -> DataFrame:
     dealt = rows.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int"))
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row for each piece
     starts = counts.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + first - 1).alias("_s"))
-    order = Window.partitionBy("_p").orderBy(*[F.col(c) for c in rows.columns if c != "embedding"])
+    order = Window.partitionBy("_p").orderBy(*[F.col(c) for c in rows.columns])
     return dealt.withColumn("_r", F.row_number().over(order)).join(F.broadcast(starts), "_p").withColumn("seq", (F.col("_s") + F.col("_r")).cast("long")).drop("_p", "_s", "_r")

@@ -25,6 +25,10 @@ class NotFound(EngineError, KeyError):
     pass
 
 
+class ConcurrentWrite(EngineError):
+    """Another writer changed the collection first; nothing was written."""
+
+
 class AlreadyExists(EngineError):
     pass
 
