@@ -9,6 +9,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,10 @@ CELL = ["layer", "cx", "cy", "cell_key"]
 
 
 def columns(rows: DataFrame) -> DataFrame:
-    """Height and mean vector of each filled cell, by per-component sums that are combined before the shuffle."""
-    parts = rows.select(*CELL, F.posexplode(V.doubles(F.col("embedding"))).alias("i", "v"))
-    means = parts.groupBy(*CELL, "i").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("height"))
-    return means.groupBy(*CELL).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("centroid"), F.max("height").alias("height"))
+    """Height and mean vector of each filled cell, by vector sums that are combined before the shuffle."""
+    vector = array_to_vector(V.doubles(F.col("embedding")))
+    means = rows.groupBy(*CELL).agg(Summarizer.mean(vector).alias("mean"), F.count(F.lit(1)).alias("height"))
+    return means.select(*CELL, vector_to_array("mean").alias("centroid"), "height")
 
 
 def height_balance(rows: DataFrame) -> DataFrame:
@@ -232,10 +234,15 @@ def ledger(access: DataFrame, now_ms: int, half_life_ms: int = 3_600_000, alpha:
     """Per cell hit_count, last_access and the decayed moving average of hits, from an access log (cell_key, ts_ms).
 
     Each hit first decays the weight by the time since the last one, then moves it towards 1.  In closed form the weight is
-    ``sum over hits of alpha (1 - alpha)^later * 0.5^(age / half life)``, so it is an aggregate with partial sums.
+    ``sum over hits of alpha (1 - alpha)^later * 0.5^(age / half life)``.  Later hits are counted within spans of a half life, plus
+    those of the later spans, so that a hot cell's hits are not numbered in one task.
     """
-    w = Window.partitionBy("cell_key").orderBy(F.col("ts_ms").desc(), F.col("event_id").desc() if "event_id" in access.columns else F.lit(0))
-    later = access.withColumn("later", F.row_number().over(w) - 1)
+    spans = access.withColumn("span", F.floor(F.col("ts_ms") / half_life_ms))
+    counts = spans.groupBy("cell_key", "span").agg(F.count(F.lit(1)).alias("n"))
+    after = Window.partitionBy("cell_key").orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("cell_key", "span", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("in_later_spans"))
+    w = Window.partitionBy("cell_key", "span").orderBy(F.col("ts_ms").desc(), F.col("event_id").desc() if "event_id" in access.columns else F.lit(0))
+    later = spans.withColumn("inside", F.row_number().over(w) - 1).join(before, ["cell_key", "span"]).withColumn("later", F.col("inside") + F.col("in_later_spans"))
     weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("later")) * F.pow(F.lit(0.5), (F.lit(now_ms) - F.col("ts_ms")) / F.lit(float(half_life_ms)))
     return later.groupBy("cell_key").agg(F.count(F.lit(1)).alias("hit_count"), F.max("ts_ms").alias("last_access"), F.sum(weight).alias("ema_weight"))
 
@@ -245,8 +252,8 @@ def moved(rows: DataFrame, weights: DataFrame, config: GridConfig = GridConfig()
 
     ``weights`` has cell_key and ema_weight.  Targets are the cells that hold the column's centre in the other layer.
     """
-    w = Window.partitionBy("cell_key")
-    marked = rows.join(weights.select("cell_key", "ema_weight"), "cell_key", "left").withColumns({"first": F.min("vec_id").over(w), "last": F.max("vec_id").over(w)})
+    ends = rows.groupBy("cell_key").agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+    marked = rows.join(ends.join(weights.select("cell_key", "ema_weight"), "cell_key", "left"), "cell_key")
     cell = F.struct("layer", F.col("cx").alias("x"), F.col("cy").alias("y"))
     hot = (F.col("ema_weight") >= config.hot_threshold) & (F.col("vec_id") == F.col("last"))
     cold = (F.col("ema_weight") < config.cold_threshold) & (F.col("vec_id") == F.col("first"))
@@ -260,10 +267,11 @@ def split_tall(rows: DataFrame, config: GridConfig = GridConfig()) -> DataFrame:
     mean = heights.agg(F.avg("h").alias("mean"))
     tall = heights.join(F.broadcast(mean), F.lit(True)).where(F.col("h") > F.greatest(F.lit(8), F.ceil(F.col("mean") * config.max_column_height_ratio))).select("cell_key", "h")
     order = Window.partitionBy("cell_key").orderBy("vec_id")
-    marked = rows.join(tall, "cell_key", "left").withColumn("r", F.row_number().over(order))
+    marked = rows.join(tall, "cell_key").withColumn("r", F.row_number().over(order))  # tall columns only
     cell = F.struct("layer", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    target = F.when(F.col("h").isNotNull() & (F.col("r") > F.floor(F.col("h") / 2)), grid.child_cell(cell, config))
-    return _placed(marked.withColumn("t", F.coalesce(target, cell)).drop("h", "r"), rows.columns)
+    target = F.when(F.col("r") > F.floor(F.col("h") / 2), grid.child_cell(cell, config))
+    split = _placed(marked.withColumn("t", F.coalesce(target, cell)).drop("h", "r"), rows.columns)
+    return rows.join(tall.select("cell_key"), "cell_key", "left_anti").select(*rows.columns).unionByName(split)
 
 
 def _placed(df: DataFrame, names: Sequence[str]) -> DataFrame:
