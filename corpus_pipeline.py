@@ -25,7 +25,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into training sequences."""
-    return packing.pack_digest(docs)
+    return packing.pack(docs)
 
 
 STAGES = [

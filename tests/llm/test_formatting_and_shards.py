@@ -1,6 +1,9 @@
 import hashlib
+import math
+import struct
 import zlib
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,7 +30,7 @@ def test_automaton():
 
 def test_conversations_with_odd_rows(spark):
     rows = [(1, 1, "assistant", "yes"), (1, 0, "user", None), (2, 0, None, "x"), (2, 0, "user", "tie"), (None, 0, "user", "</s>"), (3, 0, "user", "u"), (3, 0, "user", "u"), (3, 1, "assistant", "")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("conv_id", "conv_id")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' AS c", "-1 AS n", "'clash' AS r", "'clash' AS t", "'clash' AS formatted", "true AS valid")
     got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
     assert chat.read_back(got[1]["formatted"]) == [("user", ""), ("assistant", "yes")] and got[1]["valid"]
     assert chat.read_back(got[2]["formatted"]) == [("", "x"), ("user", "tie")] and not got[2]["valid"]
@@ -61,3 +64,20 @@ def test_weights_set_the_shares(spark):
     got = spark.range(n)
     counts = {r["s"]: r["count"] for r in got.select(sharding.rendezvous(got.id, [1.0, 3.0]).alias("s")).groupBy("s").count().collect()}
     assert abs(counts[1] / n - 0.75) < 0.02
+
+
+def test_the_best_weighted_score_wins(spark):
+    """Each key's shard by scoring all shards in Python, with and without one more."""
+    weights = [1.0, 2.0, 0.5, 1.0]
+
+    def winner(key, weights):
+        def score(shard):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42))
+            return -weights[shard] / math.log(((h >> 11) + 0.5) * 2.0**-53)
+
+        return max(range(len(weights)), key=score)
+
+    df = frame(spark, [(i, "x", "en", "a", 1) for i in range(300)])
+    for r in sharding.assign(df, "doc_id", "text", weights, added=1.5).collect():
+        assert (r["shard"], r["grown_shard"]) == (winner(r["key"], weights), winner(r["key"], [*weights, 1.5]))
+        assert r["grown_shard"] in (r["shard"], 4)

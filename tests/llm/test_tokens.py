@@ -22,7 +22,7 @@ mixed = st.lists(st.one_of(st.text(max_size=6), st.sampled_from([" ", "  ", "\n"
 @settings(max_examples=400, deadline=None)
 @given(mixed)
 def test_byte_bpe_is_the_librarys(text):
-    assert byte_bpe.encode(text).tolist() == byte_library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(byte_bpe.encode(text), "<u4").tolist() == byte_library.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=400, deadline=None)
@@ -44,7 +44,7 @@ def test_encode_frame(spark):
 
 def test_packing_covers_every_id_once(spark):
     rows = corpus()
-    got = packing.pack(frame(spark, rows), shard_docs=16).collect()
+    got = packing.pack(frame(spark, rows), shard_ids=3000).collect()
     sequences, documents = {}, {}
     for r in got:
         sequences.setdefault(r["sequence_id"], []).append(r)
@@ -69,16 +69,61 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(frame(spark, rows).where("false")).count() == 0
 
 
+def plain_bm25(query, doc, docs):
+    total, mean = 0.0, sum(map(len, docs)) / len(docs)
+    for t in query:
+        tf, df = int((doc == t).sum()), sum(t in x for x in docs)
+        total += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(doc) / mean))
+    return total
+
+
+def counted(docs, size=40):
+    df = np.zeros(size)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return packing.Statistics(df, len(docs), sum(map(len, docs)))
+
+
 def test_bm25_of_a_shard_is_the_formula():
     docs = [np.array(x, np.uint32) for x in ([1, 2, 2, 3], [2, 4], [5], [1, 1, 1, 4, 5])]
-    got = packing.Bm25Shard(docs).scores(np.array([1, 2, 9], np.uint32))
-    mean = sum(map(len, docs)) / 4
-    for d, g in zip(docs, got, strict=True):
-        total = 0.0
-        for t in (1, 2, 9):
-            tf, df = int((d == t).sum()), sum(t in x for x in docs)
-            total += math.log((4 - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
-        assert abs(total - g) < 1e-9
+    stats = counted(docs)
+    got = packing.Bm25Shard(docs, stats).scores(np.array([1, 2, 9]))
+    assert np.allclose(got, [plain_bm25((1, 2, 9), d, docs) for d in docs])
+    for d in docs:
+        weight = {int(t): plain_bm25((t,), d, docs) for t in set(d.tolist())}
+        assert stats.query(d).tolist() == sorted(weight, key=lambda t: (-round(weight[t], 12), t))
+
+
+def test_windows_take_the_best_unused_neighbours():
+    """The packer against a plain greedy filling that ranks all unused documents by the formula."""
+    rng = np.random.default_rng(3)
+    docs = [np.r_[rng.integers(1, 12, rng.integers(1, 9)) + 14 * rng.integers(0, 2), 0].astype(np.uint32) for _ in range(60)]
+    stats, window = counted(docs), 20
+    queries = [stats.query(d) for d in docs]
+    packer = packing._Packer(window, 0)
+    packer.shard(list(enumerate(docs)), stats)
+    packer.finish()
+    order, unused, used, seed = [], list(range(60)), 0, None
+    while unused:
+        best = unused[0] if seed is None else max(unused, key=lambda d: (round(plain_bm25(queries[seed], docs[d], docs), 9), -d))
+        unused.remove(best)
+        order.append(best)
+        if seed is None:
+            seed = best
+        used += len(docs[best])
+        if used >= window:  # what is left of a cut document opens the next window
+            used, seed = used % window, best
+        if not used:
+            seed = None
+    assert list(dict.fromkeys(p[0] for p in packer.pieces)) == order
+
+
+def test_corpus_statistics(spark):
+    rows = corpus()
+    encoded = packing.encode(frame(spark, rows), "doc_id", "text", BYTE)
+    ids = [np.frombuffer(r["ids"], "<u4") for r in encoded.where("term is null").collect()]
+    (got, tokens), want = packing.statistics(encoded), counted(ids, 50_257)
+    assert tokens == sum(map(len, ids)) and np.allclose(got.idf, want.idf[: len(got.idf)]) and got.mean == want.mean
 
 
 def test_lattice_sums_all_segmentations():
@@ -131,14 +176,48 @@ def test_lm_scores(spark):
 
 
 def test_lm_is_a_distribution(spark):
-    """Probabilities of texts with one word sum to 1 at most, over every word of the vocabulary and some new ones."""
-    rows = [(i, "ab cd", "en", "a", 5) for i in range(20)]
-    probes = [(100 + i, w, "en", "a", 2) for i, w in enumerate(["ab", "cd", "", "abc", "é"])]
-    kept = [r for r in probes if zlib.crc32(str(r[0]).encode()) % 7 == 2]
-    got = lattice_lm.score(frame(spark, [*rows, *probes])).where("doc_id >= 100").collect()
-    assert kept is not None and sum(10 ** r["score"] for r in got) <= 1
+    """The probabilities of all texts of one word (of a small alphabet) and of the empty one sum to less than 1; seen words have most of it."""
+    texts = ["", *("".join(x) for n in (1, 2, 3) for x in itertools.product("abc", repeat=n))]
+    rows = [(i, "ab ca", "en", "a", 5) for i in range(20)]
+    held = [i for i in range(100, 3000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(texts)]
+    got = {r["doc_id"]: r for r in lattice_lm.score(frame(spark, [*rows, *((i, t, "en", "a", 2) for i, t in zip(held, texts, strict=True))])).where("doc_id >= 100").collect()}
+    p = {t: 10 ** got[i]["score"] for i, t in zip(held, texts, strict=True)}
+    end = p[""]
+    assert all(got[i]["held_out"] for i in held) and 0.25 < end < 0.4
+    words_ = {t: x / end for t, x in p.items() if t}
+    assert 0.5 < end + sum(words_.values()) <= 1 and set(sorted(words_, key=words_.get)[-2:]) == {"ab", "ca"}
+
+
+def test_vocabulary_score_is_the_marginal_of_the_vocabulary(spark):
+    """A short text's score from the vocabulary's scores alone, by writing out all of its segmentations."""
+    pieces, first = lattice_lm.vocabulary()
+    value = dict(zip(pieces, np.exp(first), strict=True))
+    text = "The é ofx"
+    (got,) = lattice_lm.score(frame(spark, [(2, text, "en", "a", 9)])).collect()
+    total = 1e-3
+    for w in text.lower().encode().split():
+        s = b" " + w
+        sums = 0.0
+        for cuts in itertools.product([0, 1], repeat=len(s) - 1):
+            at = [0, *[i + 1 for i, x in enumerate(cuts) if x], len(s)]
+            sums += math.prod(value.get(s[a:b], 0.0) for a, b in zip(at, at[1:]))
+        total *= sums * (1 - 1e-3)
+    assert abs(got["vocabulary_score"] - math.log10(total)) < 1e-9
+
+
+def test_suffix_automaton_finds_every_token():
+    rng = np.random.default_rng(6)
+    strings = sorted({"".join(rng.choice(list("ab\u0142"), rng.integers(1, 6))) for _ in range(60)})
+    automaton = word_bpe.SuffixAutomaton({s: i for i, s in enumerate(strings)})
+    for _ in range(50):
+        text = "".join(rng.choice(list("ab\u0142x"), 25))
+        state = size = 0
+        for end in range(1, 26):
+            state, size = automaton.step(state, size, ord(text[end - 1]))
+            want = [i for i in sorted(range(len(strings)), key=lambda i: -len(strings[i])) if text[:end].endswith(strings[i])]
+            assert [i for i, n in automaton.endings[state] if n <= size] == want
 
 
 def test_arrow_batches_of_one_task():
-    b = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["a", "b"])
-    assert list(packing.pack_batches(iter([b]), BYTE)) == []
+    b = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["a", "b"])
+    assert list(packing.pack_batches(iter([b]), counted([np.array([1])]), 1024, 100)) == []

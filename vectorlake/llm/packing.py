@@ -1,13 +1,19 @@
 """Lexical retrieval packing: a sharded BM25 inverted index fills each training sequence with related documents.
 
-Documents are tokenised as they stream through a scan task.  Each run of ``SHARD_DOCS`` documents is one shard with an
-inverted index of its own (token id -> documents and BM25 impacts).  A window opens with a seed: the rest of the
-document that the last window cut, or the next unused one.  The index ranks the shard's unused documents against the seed, and
-these fill the window in that order; the last is cut where the window is full.  A shard's unfinished window goes on in the
-task's next shard.  The one remainder of a task is cut into sequences of power-of-two lengths, so nothing is padded.
+Documents are encoded once into a table of ids.  The documents' frequencies of all vocabulary ids and the mean length
+are counted over the whole corpus.  A document's two largest ids, its rarest pieces, place it: documents are range-partitioned by
+these, then by a hash that splits a hot id, so that documents with a rare piece in common come to one shard.  A document's query are
+the ``QUERY_TERMS`` of its different ids with the largest BM25 weight.  A shard has ``SHARD_IDS`` ids, some 10,000 documents, and an inverted index of its own (id -> documents and BM25 impacts,
+with the corpus' frequencies).
 
-No shuffle takes place, memory holds one shard, and a recomputed task gives the same rows, as the sequence numbers
-derive from the task's partition number.
+A window opens with a seed: the document whose rest the last window cut, or else the shard's next unused one.  The
+index ranks all unused documents of the shard against the seed's query; the best fill the window in that order (ties and documents without
+a common id: by place), and the last is cut where the window is full.  A shard's unfinished window goes on in the task's next shard.
+The one remainder of a task is cut into sequences of power-of-two lengths, so nothing is padded.
+
+The ids are those of the tokenizers library for the file (its special strings included), computed by tiktoken from the same
+vocabulary; a property test holds them against the library.  Only vocabulary-sized counts reach the driver.  Rows are sorted inside a partition
+and sequence numbers derive from its number, so a recomputed task gives the same rows.
 
 Edge cases: null and empty texts give the single end-of-document id; repeated rows are packed once each; a document longer than a
 window spans several; an empty table gives an empty result; other columns are ignored.
@@ -16,7 +22,6 @@ window spans several; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,39 +29,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 WINDOW = 1024
-SHARD_DOCS = 256
-#: A shard also ends at this many ids, so that very long documents don't add up.
-SHARD_IDS = 4_000_000
+#: Ids of a shard, about; its index takes some 200 MB.
+SHARD_IDS = 8_000_000
+#: Ids of a document that are asked for.
+QUERY_TERMS = 24
 END = 0
 K1, B = 1.2, 0.75
-#: Entries a worker keeps of words that it has encoded; the store is emptied when full.
-CACHE = 1_000_000
-
-
-class _Parts(dict):
-    """Encoded parts by their text; computes the missing ones and is emptied when full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[part] = self._encode(part)
-        return ids
 
 
 class ByteBpe:
-    """Ids as the tokenizers library gives them for a byte-level BPE file, special strings included.
-
-    A text is cut before every single space and around every single line feed.  No pre-token crosses these places unless white
-    space meets white space, in which case the text is encoded in one piece.  The parts are remembered.
-    """
+    """Ids as the tokenizers library gives them for a byte-level BPE file, special strings included."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -74,43 +61,47 @@ class ByteBpe:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._core = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)._core_bpe
         self._special = set(special)
-        self._irregular = re.compile(r"\s\s|\x00|[\x1c-\x1f]|^\s|\s$")
-        self._parts = _Parts(lambda part: np.array(self._core.encode(part, self._special), dtype="<u4").tobytes())
 
-    def encode(self, text: str) -> np.ndarray:
-        if self._irregular.search(text):
-            return np.array(self._core.encode(text, self._special), dtype="<u4")
-        parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return np.frombuffer(b"".join(map(self._parts.__getitem__, parts)), dtype="<u4")
+    def encode(self, text: str) -> bytes:
+        """Unsigned 32-bit ids, little-endian."""
+        special = {x for x in self._special if x in text}
+        return bytes(self._core.encode_to_tiktoken_buffer(text, special))
+
+
+class Statistics:
+    """What BM25 takes from the whole corpus."""
+
+    def __init__(self, frequencies: np.ndarray, documents: int, tokens: int):
+        self.idf = np.log((documents - frequencies + 0.5) / (frequencies + 0.5) + 1)
+        self.mean = max(tokens / max(documents, 1), 1e-6)
+
+    def weight(self, terms: np.ndarray, tf: np.ndarray, lengths) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / self.mean))
+
+    def query(self, ids: np.ndarray) -> np.ndarray:
+        """The heaviest different ids of a document, heaviest first; of equal ones the smallest."""
+        terms, tf = np.unique(ids, return_counts=True)
+        return terms[np.lexsort((terms, -self.weight(terms, tf, len(ids))))[:QUERY_TERMS]]
 
 
 class Bm25Shard:
     """Inverted index over one shard's documents, given as arrays of token ids."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics):
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         owner = np.repeat(np.arange(len(docs), dtype=np.int64), lengths)
         keys, tf = np.unique((np.concatenate(docs).astype(np.int64) << 32) | owner, return_counts=True)
         terms = keys >> 32
-        self.doc = keys & 0xFFFFFFFF
-        first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
-        self.terms = terms[first]
-        self.bounds = np.r_[first, len(terms)]
-        df = np.diff(self.bounds)
-        idf = np.log((len(docs) - df + 0.5) / (df + 0.5) + 1)
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1e-6))
-        self.impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.doc = (keys & 0xFFFFFFFF).astype(np.int32)
+        self.bounds = np.searchsorted(terms, np.arange(len(statistics.idf) + 1))
+        self.impact = statistics.weight(terms, tf, lengths[self.doc])
         self.size = len(docs)
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """BM25 of every document of the shard for the distinct ids of ``query``."""
-        asked = np.unique(query)
-        at = np.searchsorted(self.terms, asked)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], asked, assume_unique=True)]
-        starts, counts = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        where = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        return np.bincount(self.doc[where], weights=self.impact[where], minlength=self.size)
+        """BM25 of every document of the shard for different ids."""
+        parts = [slice(self.bounds[t], self.bounds[t + 1]) for t in query.tolist()]
+        where = np.concatenate([self.doc[p] for p in parts])
+        return np.bincount(where, weights=np.concatenate([self.impact[p] for p in parts]), minlength=self.size)
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.uint32())), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -123,6 +114,7 @@ class _Packer:
         self.window, self.sequence = window, first_sequence
         self.used = 0
         self.open: list[tuple] = []  # pieces of the unfinished window
+        self.seed = np.empty(0, np.uint32)  # its seed's ids
         self.pieces: list[tuple] = []
 
     def put(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -137,28 +129,33 @@ class _Packer:
                 self.pieces += self.open
                 self.open, self.used, self.sequence = [], 0, self.sequence + 1
 
-    def shard(self, docs: list[tuple[int | None, np.ndarray]]) -> None:
-        index = Bm25Shard([ids for _, ids in docs])
+    def shard(self, docs: list[tuple[int | None, np.ndarray]], statistics: Statistics) -> None:
+        """Add the documents (id, ids) of a shard."""
+        index = Bm25Shard([ids for _, ids in docs], statistics)
         unused = np.ones(len(docs), dtype=bool)
-        following = 0
-        while True:
+        following, left = 0, len(docs)
+
+        def use(d: int) -> None:
+            nonlocal left
+            unused[d] = False
+            left -= 1
+            self.seed = docs[d][1]  # of the last window that the document reaches
+            self.put(*docs[d])
+
+        while left:
             if not self.open:  # a fresh window: the next unused document is its seed
-                while following < len(docs) and not unused[following]:
+                while not unused[following]:
                     following += 1
-                if following == len(docs):
-                    return
-                unused[following] = False
-                self.put(*docs[following])
+                use(following)
                 continue
-            left = np.flatnonzero(unused)
-            if not len(left):
-                return
-            seed, window = self.open[0][2], self.sequence
-            for d in left[np.lexsort((left, -index.scores(seed)[left]))]:
-                unused[d] = False
-                self.put(*docs[d])
-                if self.sequence != window:
-                    break
+            window, scores = self.sequence, np.where(unused, index.scores(statistics.query(self.seed)), -1.0)
+            while left and self.sequence == window:
+                d = int(scores.argmax())  # of equal scores the first
+                scores[d] = -1.0
+                seed = self.seed
+                use(d)
+                if self.sequence == window:
+                    self.seed = seed
 
     def finish(self) -> None:
         """Cut the unfinished window at powers of two."""
@@ -189,25 +186,76 @@ class _Packer:
 _ENCODERS: dict[str, ByteBpe] = {}
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> Iterator[pa.RecordBatch]:
-    """The operator on one task's (id, text) batches: batches of pieces."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteBpe(path)
-    encoder = _ENCODERS[path]
+def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """(doc_id, ids, first, second, term, n): one row for each document and, with ``term`` set, the tasks' counts for ``statistics``.
+
+    ids are unsigned 32-bit numbers, little-endian, with the end id; first and second are the document's two largest different
+    ids, which stand for its rarest pieces, as ids follow the order in which pieces were made.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("first", pa.int32()), ("second", pa.int32()), ("term", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = ByteBpe(path)
+        encoder, end = _ENCODERS[path], np.uint32(END).tobytes()
+        df, documents, tokens = np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            ids, first, second = [], [], []
+            for t in b.column(1):
+                raw = encoder.encode(t.as_py() or "") + end
+                terms = np.unique(np.frombuffer(raw, "<u4"))
+                if terms[-1] >= len(df):
+                    df = np.r_[df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)]
+                df[terms] += 1
+                tokens += len(raw) // 4
+                ids.append(raw)
+                first.append(terms[-1])
+                second.append(terms[-2] if len(terms) > 1 else terms[-1])
+            n = b.num_rows
+            documents += n
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+        at = np.flatnonzero(df)
+        terms, counts = np.r_[-2, -1, at], np.r_[documents, tokens, df[at]]
+        empty = [pa.nulls(len(terms), f.type) for f in schema][:4]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, first int, second int, term long, n long")
+
+
+def statistics(encoded: DataFrame) -> tuple[Statistics, int]:
+    """Document frequencies of the vocabulary's ids from all documents, and the number of all ids.  One row for each id reaches the driver."""
+    got = encoded.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    n = dict(zip(got["term"].tolist(), got["n"].tolist(), strict=True))
+    documents, tokens = n.pop(-2, 0), n.pop(-1, 0)
+    df = np.zeros(max(n, default=0) + 1)
+    df[list(n)] = list(n.values())
+    return Statistics(df, documents, tokens), tokens
+
+
+def placed(encoded: DataFrame, shard_ids: int, tokens: int) -> DataFrame:
+    """(doc_id, ids): related documents in one partition, in a fixed order."""
+    order = ["first", "second", "part", "doc_id"]
+    rows = encoded.where("term is null").withColumn("part", F.xxhash64("doc_id", "ids"))
+    return rows.repartitionByRange(max(1, -(-tokens // shard_ids)), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+
+
+def pack_batches(batches: Iterator[pa.RecordBatch], stats: Statistics, window: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
+    """One task's (doc_id, ids) batches -> batches of pieces."""
     context = TaskContext.get()
     packer = _Packer(window, (context.partitionId() if context else 0) << 32)
     docs, held = [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(END))
+        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = np.frombuffer(raw.as_py(), "<u4")
             docs.append((doc_id, ids))
             held += len(ids)
-            if len(docs) >= shard_docs or held >= SHARD_IDS:
-                packer.shard(docs)
+            if held >= 2 * shard_ids:  # a partition has about half as many
+                packer.shard(docs, stats)
                 docs, held = [], 0
                 yield packer.batch()
     if docs:
-        packer.shard(docs)
+        packer.shard(docs, stats)
     packer.finish()
     if packer.pieces:
         yield packer.batch()
@@ -219,24 +267,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def _pack(docs: DataFrame, id_col: str, text_col: str, path: str | None, window: int, shard_ids: int, form, schema: str) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "packing")
+    encoded = scratch.save(encode(docs, id_col, text_col, path or tokenizer_path()), "ids")
+    stats, tokens = statistics(encoded)
+    return placed(encoded, shard_ids, tokens).mapInArrow(lambda it: form(pack_batches(it, stats, window, shard_ids)), schema)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pieces of all documents: doc_id, start, ids, doc_tokens, sequence_id, offset."""
-    path = path or tokenizer_path()
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(lambda it: _signed(pack_batches(it, path, window, shard_docs)), "doc_id long, start long, ids array<int>, doc_tokens long, sequence_id long, offset long")
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(2, "ids", b.column(2).cast(pa.list_(pa.int32())))
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield b.set_column(2, "ids", b.column(2).cast(pa.list_(pa.int32())))
+    return _pack(docs, id_col, text_col, path, window, shard_ids, signed, "doc_id long, start long, ids array<int>, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces with the length and checksum of their ids in place of the ids, taken in the same task."""
-    path = path or tokenizer_path()
 
-    def run(batches):
-        for b in pack_batches(batches, path):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             ids = b.column(2)
             flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
             lengths = np.diff(at).astype(np.int64)
@@ -246,8 +298,7 @@ def pack_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return _pack(docs, "doc_id", "text", path, WINDOW, SHARD_IDS, digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
