@@ -235,8 +235,9 @@ def statistics(encoded: DataFrame) -> tuple[Statistics, int]:
 
 def placed(encoded: DataFrame, shard_ids: int, tokens: int) -> DataFrame:
     """(doc_id, ids): related documents in one partition, in a fixed order."""
-    order = ["first", "second", "part", "doc_id"]
-    rows = encoded.where("term is null").withColumn("part", F.xxhash64("doc_id", "ids"))
+    order = ["place", "first", "second", "part", "doc_id"]
+    # Long documents hold large ids: without the hash they would all stand in the last partitions.
+    rows = encoded.where("term is null").withColumns({"place": F.xxhash64("first"), "part": F.xxhash64("doc_id", "ids")})
     return rows.repartitionByRange(max(1, -(-tokens // shard_ids)), *order).sortWithinPartitions(*order).select("doc_id", "ids")
 
 
