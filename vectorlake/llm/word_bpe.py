@@ -1,7 +1,8 @@
 """BPE by dynamic programming over prefixes.
 
-For every prefix of a pre-token exactly one vocabulary token can come last in its BPE encoding.  An automaton with
-suffix links over the vocabulary finds the tokens that end at each position; a token that starts at ``s`` is the last one iff it can
+For every prefix of a pre-token exactly one vocabulary token can come last in its BPE encoding.  A suffix automaton of all
+vocabulary tokens reads the pre-token: its state is the longest suffix read so far that occurs inside any token, and the tokens on
+its suffix-link path that are no longer than that end there.  A token that starts at ``s`` is the last one iff it can
 follow the last token of the prefix ``[0, s)``, that is, iff BPE of the two tokens' joined text gives just these two back.
 That test undoes merges on both sides of the seam and asks at each step whether an earlier merge would have crossed it.
 Back-pointers then give the ids, the same as merging gives.
@@ -28,10 +29,85 @@ from .common import table
 #: Bounds of a worker's stores; each is emptied when full.
 PARTS, PAIRS = 700_000, 2_000_000
 
+_PRINTABLE = re.compile("[!-~]+")
+# fixed value: the pre-tokeniser's pattern, as far as it concerns printable ASCII
+_ASCII_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+class SuffixAutomaton:
+    """Suffix automaton of many strings; tells which of them end at each place of a text.
+
+    States are numbered as they come; a transition's key is its state and its character in one number.
+    """
+
+    _BITS = 21  # of a character
+
+    def __init__(self, strings: dict[str, int]):
+        self._go: dict[int, int] = {}
+        self._out: list[list[int]] = [[]]  # characters with transitions, needed to copy a state
+        self._link, self._length = [-1], [0]
+        ends: dict[int, tuple[int, int]] = {}
+        for text, value in strings.items():
+            last = 0
+            for c in map(ord, text):
+                last = self._extend(last, c)
+            ends[last] = (value, len(text))
+        del self._out
+        #: (value, length) of the strings that end where a state is reached, longest first; those longer than the match do not.
+        self.endings: list[tuple[tuple[int, int], ...]] = [()] * len(self._link)
+        for s in sorted(range(1, len(self._link)), key=self._length.__getitem__):
+            above = self.endings[self._link[s]]
+            self.endings[s] = (ends[s], *above) if s in ends else above
+
+    def _extend(self, last: int, c: int) -> int:
+        go, link, length, out, bits = self._go, self._link, self._length, self._out, self._BITS
+        there = go.get(last << bits | c)
+        if there is not None:
+            return there if length[there] == length[last] + 1 else self._copy(last, c, there)
+        new = len(link)
+        link.append(0)
+        length.append(length[last] + 1)
+        out.append([])
+        p = last
+        while p >= 0 and (p << bits | c) not in go:
+            go[p << bits | c] = new
+            out[p].append(c)
+            p = link[p]
+        if p >= 0:
+            q = go[p << bits | c]
+            link[new] = q if length[q] == length[p] + 1 else self._copy(p, c, q)
+        return new
+
+    def _copy(self, p: int, c: int, q: int) -> int:
+        """Split off the strings of state ``q`` that are no longer than the step from ``p``."""
+        go, link, length, out, bits = self._go, self._link, self._length, self._out, self._BITS
+        copy = len(link)
+        link.append(link[q])
+        length.append(length[p] + 1)
+        out.append(list(out[q]))
+        for x in out[q]:
+            go[copy << bits | x] = go[q << bits | x]
+        link[q] = copy
+        while p >= 0 and go.get(p << bits | c) == q:
+            go[p << bits | c] = copy
+            p = link[p]
+        return copy
+
+    def step(self, state: int, size: int, c: int) -> tuple[int, int]:
+        """State and length of the longest suffix that occurs in a string, after one more character."""
+        go, link = self._go, self._link
+        following = go.get(state << self._BITS | c)
+        while following is None:
+            if not state:
+                return 0, 0
+            state = link[state]
+            size = self._length[state]
+            following = go.get(state << self._BITS | c)
+        return following, size + 1
+
 
 class WordBpe:
     def __init__(self, path: str):
-        import ahocorasick
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -60,11 +136,9 @@ class WordBpe:
             self._rank.setdefault((a, b), rank)
             if c not in self._halves:
                 self._halves[c], self._age[c], symbols[c] = (a, b), rank, symbols[a] + symbols[b]
-        self._automaton = ahocorasick.Automaton()
-        for i, s in symbols.items():
-            self._automaton.add_word(s, (i, len(s)))
-        self._automaton.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._id_of = {s: i for i, s in symbols.items()}
+        self._automaton = SuffixAutomaton(self._id_of)
+        self._pairs: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
         self._symbols = symbols
         self._parts: dict[bytes, tuple[str, str]] = {}
@@ -101,44 +175,48 @@ class WordBpe:
 
     def _merged(self, text: str) -> list[int]:
         """BPE by merging; used only to see which tokens can stand alone."""
-        ids = [next(i for _, (i, n) in self._automaton.iter(c) if n == 1) for c in text]
+        ids = [self._id_of[c] for c in text]
         while True:
             best = min(((self._rank.get(p, 1 << 60), k) for k, p in enumerate(zip(ids, ids[1:]))), default=(1 << 60, 0))
             if best[0] == 1 << 60:
                 return ids
             k = best[1]
-            joined = self._symbols[ids[k]] + self._symbols[ids[k + 1]]
-            ids[k : k + 2] = [next(i for i in (c for _, (c, n) in self._automaton.iter(joined) if n == len(joined)))]
+            ids[k : k + 2] = [self._id_of[self._symbols[ids[k]] + self._symbols[ids[k + 1]]]]
 
     def encode_pre_token(self, chars: str) -> list[int]:
         """Ids of one pre-token, given in byte characters."""
-        text = self._last(chars)
+        text = chars[:-1] + chr(ord(chars[-1]) + 0x10000)
         last: list[int] = [-1] * len(text)  # the last token of each prefix
-        size: list[int] = [0] * len(text)
-        pairs = self._pairs
-        for end, (token, n) in self._automaton.iter(text):
-            if last[end] >= 0:
-                continue
-            start = end - n
-            if start < 0:
-                if not self._stands(token):
-                    continue
-            else:
-                before = last[start]
-                if before < 0:
+        lengths: list[int] = [0] * len(text)
+        step, endings, pairs = self._automaton.step, self._automaton.endings, self._pairs
+        state = size = 0
+        for end, c in enumerate(map(ord, text)):
+            state, size = step(state, size, c)
+            for token, n in endings[state]:
+                if n > size:
                     continue
-                fits = pairs.get((before, token))
-                if fits is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    fits = pairs[before, token] = self._fits(before, token)
-                if not fits:
-                    continue
-            last[end], size[end] = token, n
+                start = end - n
+                if start < 0:
+                    if not self._stands(token):
+                        continue
+                else:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    pair = before << 20 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self._fits(before, token)
+                    if not fits:
+                        continue
+                last[end], lengths[end] = token, n
+                break
         ids, end = [], len(text) - 1
         while end >= 0:
             ids.append(last[end])
-            end -= size[end]
+            end -= lengths[end]
         ids.reverse()
         return ids
 
@@ -148,6 +226,9 @@ class WordBpe:
         for piece in self._special_re.split(part) if self._special_hint in part else (part,):
             if piece in self._special:
                 ids.append(self._special[piece])
+            elif _PRINTABLE.fullmatch(piece):  # byte characters of these are themselves
+                for chars in _ASCII_TOKEN.findall(piece.lower()):
+                    ids += self.encode_pre_token(chars)
             elif piece:
                 for chars, _ in self._pre_tokenize(self._normalize(piece)):
                     ids += self.encode_pre_token(chars)
