@@ -40,7 +40,7 @@ class SuffixAutomaton:
     States are numbered as they come; a transition's key is its state and its character in one number.
     """
 
-    _BITS = 21  # of a character
+    BITS = 21  # of a character
 
     def __init__(self, strings: dict[str, int]):
         self._go: dict[int, int] = {}
@@ -53,6 +53,7 @@ class SuffixAutomaton:
                 last = self._extend(last, c)
             ends[last] = (value, len(text))
         del self._out
+        self.follow = self._go.get  # the next state for a state and a character, if the match goes on
         #: (value, length) of the strings that end where a state is reached, longest first; those longer than the match do not.
         self.endings: list[tuple[tuple[int, int], ...]] = [()] * len(self._link)
         for s in sorted(range(1, len(self._link)), key=self._length.__getitem__):
@@ -60,7 +61,7 @@ class SuffixAutomaton:
             self.endings[s] = (ends[s], *above) if s in ends else above
 
     def _extend(self, last: int, c: int) -> int:
-        go, link, length, out, bits = self._go, self._link, self._length, self._out, self._BITS
+        go, link, length, out, bits = self._go, self._link, self._length, self._out, self.BITS
         there = go.get(last << bits | c)
         if there is not None:
             return there if length[there] == length[last] + 1 else self._copy(last, c, there)
@@ -80,7 +81,7 @@ class SuffixAutomaton:
 
     def _copy(self, p: int, c: int, q: int) -> int:
         """Split off the strings of state ``q`` that are no longer than the step from ``p``."""
-        go, link, length, out, bits = self._go, self._link, self._length, self._out, self._BITS
+        go, link, length, out, bits = self._go, self._link, self._length, self._out, self.BITS
         copy = len(link)
         link.append(link[q])
         length.append(length[p] + 1)
@@ -96,13 +97,13 @@ class SuffixAutomaton:
     def step(self, state: int, size: int, c: int) -> tuple[int, int]:
         """State and length of the longest suffix that occurs in a string, after one more character."""
         go, link = self._go, self._link
-        following = go.get(state << self._BITS | c)
+        following = go.get(state << self.BITS | c)
         while following is None:
             if not state:
                 return 0, 0
             state = link[state]
             size = self._length[state]
-            following = go.get(state << self._BITS | c)
+            following = go.get(state << self.BITS | c)
         return following, size + 1
 
 
@@ -167,10 +168,7 @@ class WordBpe:
 
     def _stands(self, token: int) -> bool:
         """Whether a token's own text is encoded as that token."""
-        known = self._own.get(token)
-        if known is None:
-            halves = self._halves.get(token)
-            known = self._own[token] = halves is None or self._merged(self._symbols[token]) == [token]
+        known = self._own[token] = token not in self._halves or self._merged(self._symbols[token]) == [token]
         return known
 
     def _merged(self, text: str) -> list[int]:
@@ -188,16 +186,22 @@ class WordBpe:
         text = chars[:-1] + chr(ord(chars[-1]) + 0x10000)
         last: list[int] = [-1] * len(text)  # the last token of each prefix
         lengths: list[int] = [0] * len(text)
-        step, endings, pairs = self._automaton.step, self._automaton.endings, self._pairs
+        step, endings, pairs, stands = self._automaton.step, self._automaton.endings, self._pairs, self._own
+        follow, bits = self._automaton.follow, self._automaton.BITS
         state = size = 0
         for end, c in enumerate(map(ord, text)):
-            state, size = step(state, size, c)
+            following = follow(state << bits | c)
+            if following is None:
+                state, size = step(state, size, c)
+            else:
+                state, size = following, size + 1
             for token, n in endings[state]:
                 if n > size:
                     continue
                 start = end - n
                 if start < 0:
-                    if not self._stands(token):
+                    alone = stands.get(token)
+                    if not (self._stands(token) if alone is None else alone):
                         continue
                 else:
                     before = last[start]
