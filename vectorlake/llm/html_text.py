@@ -5,11 +5,15 @@ the composite density
 
     C / T * ln(C/LC * T/LT) / ln(ln(C/(C-LC) * LC + LC_body/C_body * C + e) + e - 1)
 
-(counts in denominators are 1 at least; ``e - 1`` keeps the base above 1 on pages without links).  Scripts, styles, forms,
-navigation, page headers, footers, asides and blocks whose class, id or role names boilerplate are cut off first.  A node's
-density sum adds its children's densities.  The node with the largest sum is the core; the lowest density on
-its path to the body is the threshold, and nodes outside the core that reach it are searched for further cores, as articles may
-be split over containers.  If the core lies in an ``article`` or ``main`` element, that element is the result.
+(counts in denominators are 1 at least; ``e - 1`` keeps the base above 1 on pages without links).  Scripts, styles and form
+controls hold no text of the page and are left out.  A node's density sum adds its children's densities; the node with the largest
+sum is the core, and the lowest density on its path to the body is the threshold.  Nodes outside the core that reach it are
+main text, too, as articles may be split over containers.
+
+What a node is called is a prior only: the density sum of an ``article`` or ``main`` element counts ``MAIN`` times, and the density of a node that is named like boilerplate (an element such as ``nav`` or
+``footer``, a role, class or id) or whose text is mostly links counts ``PRIOR`` times.  Its density decides: inside the main text such a
+node goes if its discounted density is below the threshold, or below ``DENSE`` times the density of the core, and stays if it is as
+dense as the article itself.
 
 Edge cases: null or empty html and pages without text give the empty string; malformed and unclosed markup is closed as
 browsers do in the common cases; deep nesting needs no recursion; repeated rows give repeated results; other columns are ignored.
@@ -20,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,18 +50,21 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-# fixed values: what names boilerplate
-CUT_TAGS = frozenset("nav aside footer form button input fieldset dialog menu".split()) | RAW
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-CUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored sponsors promo promotion promotions "
-    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup paywall "
-    "sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer "
-    "comment comments commentlist reply replies respond disqus discussion reactions "
-    "share sharing social related recommended recommendations widget widgets toolbar pagination pager login search form".split()
-)
-PAGE_HEADER = frozenset({"header", "masthead", "topbar"})
+#: Controls, whose text is none of the page's.
+CONTROLS = frozenset("form button input dialog".split()) | RAW
+# fixed values: what names the main text and what boilerplate
 CONTENT = frozenset({"article", "main"})
+NAMED_TAGS = frozenset("nav aside footer fieldset menu".split())
+NAMED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notification alert popup newsletter "
+    "subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments replies share sharing social related "
+    "recommended widget pagination".split()
+)
+#: Density factor of what is named so or holds mostly links, and the least density of such a node, relative to the core.
+PRIOR, DENSE = 0.2, 0.5
+#: Factor of the density sum of an element that is named as the main text.
+MAIN = 10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -65,12 +73,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "cut", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "items", "cut", "doubted", "chars", "tags", "link_chars", "links", "density", "total")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list[Node | str] = []
-        self.cut = False
+        self.cut = self.doubted = False
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
 
@@ -79,6 +87,15 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     """The body and all nodes in page order."""
     root = Node("html", "", None)
     nodes, top, at, n = [root], root, 0, len(page)
+    still_open: Counter[str] = Counter()  # so that no step climbs in vain: each node is left once
+
+    def leave(upto: Node) -> Node:
+        node = top
+        while node is not upto:
+            still_open[node.tag] -= 1
+            node = node.parent
+        return upto
+
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
             top.items.append(page[at : m.start()])
@@ -87,11 +104,11 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:  # closes the nearest open element of that name
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if still_open[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = leave(node.parent)
             elif tag == "p":
                 top.items.append(Node("p", "", top))
             continue
@@ -104,26 +121,27 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if tag not in ("svg", "math", "object") or end:
                 at = end.end() if end else n
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and still_open["p"]:
             node = top
             while node is not root and node.tag != "p" and node.tag not in ("td", "th", "button", "div", "article", "section"):
                 node = node.parent
             if node.tag == "p":
-                top = node.parent
+                top = leave(node.parent)
         if tag in IMPLIED:
             ends, bounds = IMPLIED[tag]
-            node, last = top, None
-            while node is not root and node.tag not in bounds:
+            node, last, left = top, None, sum(still_open[x] for x in ends)
+            while left and node is not root and node.tag not in bounds:
                 if node.tag in ends:
-                    last = node
+                    last, left = node, left - 1
                 node = node.parent
             if last is not None:
-                top = last.parent
+                top = leave(last.parent)
         node = Node(tag, m[3], top)
         nodes.append(node)
         top.items.append(node)
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCK - VOID:
             top = node
+            still_open[tag] += 1
     if at < n:
         top.items.append(page[at:])
     return root, nodes
@@ -133,10 +151,10 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def _prune(nodes: list[Node]) -> None:
-    """Mark boilerplate.  A node named like boilerplate stays if it holds the article or most of the page's text."""
+def _names(nodes: list[Node]) -> None:
+    """Cut controls and hidden nodes; mark as doubted what is named like boilerplate."""
     inside: dict[int, bool] = {}
-    holds: set[int] = set()
+    holds: set[int] = set()  # forms around a heading, as some pages are one form
     for node in nodes:
         inside[id(node)] = node.tag in CONTENT or node.parent is not None and inside[id(node.parent)]
         if node.tag in CONTENT or node.tag == "h1":
@@ -144,26 +162,12 @@ def _prune(nodes: list[Node]) -> None:
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    size: dict[int, int] = {}
-    for node in reversed(nodes):
-        size[id(node)] = sum(len(x.split() and x) if isinstance(x, str) else size.get(id(x), 0) for x in node.items)
-    marked = any(x.tag in CONTENT for x in nodes)  # then whatever does not hold the article can go, however long
-    whole = size[id(nodes[0])]
     for node in nodes[1:]:
-        if node.parent.cut:
-            node.cut = True
-        elif node.tag in CUT_TAGS:
-            node.cut = node.tag != "form" or id(node) not in holds
-        elif node.tag == "header":
-            node.cut = not inside[id(node)] and not any(isinstance(x, Node) and x.tag in CONTENT for x in node.items)
-        elif node.attrs and node.tag not in CONTENT and node.tag not in ("h1", "h2", "h3"):
-            attrs = _attributes(node.attrs)
-            names = set(_NAME.findall(_CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-            named = bool(names & CUT_WORDS) or bool(names & PAGE_HEADER) and not inside[id(node)] or attrs.get("role", "").lower() in CUT_ROLES
-            if named and id(node) not in holds and (marked or 2 * size[id(node)] <= whole):
-                node.cut = True
-            elif "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-                node.cut = True
+        attrs = _attributes(node.attrs) if node.attrs else {}
+        called = set(_NAME.findall(_CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
+        node.cut = node.parent.cut or node.tag in CONTROLS and not (node.tag == "form" and id(node) in holds) or "hidden" in attrs or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+        named = node.tag in NAMED_TAGS or node.tag == "header" and not inside[id(node)] or bool(called & NAMES) or attrs.get("role", "").lower() in NAMED_ROLES
+        node.doubted = named and node.tag not in CONTENT and node.tag != "h1"
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -186,26 +190,34 @@ def _measure(nodes: list[Node]) -> None:
         if c:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e) + math.e - 1
             node.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1)) / math.log(base)
+        node.doubted = node.doubted or node.links > 1 and 2 * lc > c and node.tag in BLOCK and node is not body
+    for node in live:
+        if node.parent is not None and node.parent.doubted:
+            node.doubted = True  # a part of a doubted block
+        if node.doubted:
+            node.density *= PRIOR
     for node in live:
-        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.cut) or node.density * 1e-6
+        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.cut)
+        if node.tag in CONTENT:
+            node.total *= MAIN
 
 
 def _cores(body: Node, nodes: list[Node]) -> list[Node]:
-    """Disjoint subtrees that make up the main text, in page order."""
+    """Disjoint subtrees that make up the main text, in page order, without their doubted parts of low density."""
     live = [x for x in nodes if not x.cut and x.chars]
     if not live:
         return []
-    core = max(live, key=lambda x: x.total)
+    core = max(live, key=lambda x: (x.total, x.density))
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for node in reversed(path):
-        if node.tag in CONTENT:
-            return [node]
     threshold = min(x.density for x in path)
+    dense = max(threshold, DENSE * core.density)
+    for node in live:
+        node.cut = node.cut or node.doubted and node.density < dense and node is not body
     chosen = {id(core)}
     for node in live:  # other containers as dense as the path
-        if node is not body and node.density >= threshold and node.tag in BLOCK:
+        if node is not body and not node.doubted and not node.cut and node.density >= threshold and node.tag in BLOCK:
             chosen.add(id(node))
     out: list[Node] = []
     taken: set[int] = set()
@@ -215,12 +227,8 @@ def _cores(body: Node, nodes: list[Node]) -> list[Node]:
         elif id(node) in chosen:
             taken.add(id(node))
             out.append(node)
-    if not out or not all(x.parent is body for x in out):
-        # Cores in one container: take the container, short blocks between them included.
-        shared = _common(out or [core])
-        if shared is not body:
-            return [shared]
-    return [body] if id(body) in chosen else out
+    # Cores in one container: take the container, short blocks between them included.
+    return [_common(out)] if out else []
 
 
 def _common(nodes: list[Node]) -> Node:
@@ -274,7 +282,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     body, nodes = parse(page)
-    _prune(nodes)
+    _names(nodes)
     _measure(nodes)
     return "\n\n".join(b for core in _cores(body, nodes) for b in _blocks(core))
 
