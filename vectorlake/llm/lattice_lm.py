@@ -2,7 +2,13 @@
 
 A word is the marker byte (a space) and its bytes; its lattice probability sums the products of piece probabilities over
 all segmentations into vocabulary pieces, by forward recursion in log space.  Single bytes are pieces too, so every word
-has a segmentation.  The vocabulary is that of an existing tokenizer file, whose scores rank the pieces; its
+has a segmentation.  The vocabulary is that of an existing tokenizer file, whose scores rank the pieces.  A text's marginal over all its
+segmentations is the product of its words', as no piece crosses a word's start.  Two marginals are returned.
+
+``vocabulary_score`` weights the pieces by the existing vocabulary's scores alone, ``1 / (1 + rank)``, normalised once.
+
+``score`` is the marginal in the lattice of a corpus, as the vocabulary's scores alone predict texts far worse than counting words does
+(figures in the README).  Its piece
 probabilities are learned from the training texts: starting from ``1 / (1 + rank)`` as the scores give it, expectation
 maximisation over the training words (each counted once, as the lattice must foretell new words; forward and backward
 recursion) fits one set of probabilities for each language of the training rows.
@@ -39,7 +45,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-COMMON = 1_000_000
+#: Words that are sent to all tasks, at most: some 50 MB with their scores.
+COMMON = 300_000
 LANGUAGES = 8
 ROUNDS = 3
 #: Weight, in piece counts, of the probabilities over all languages when one language's are fitted.
@@ -213,7 +220,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "lang", vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score for each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lattice-lm")
     group = F.coalesce(docs[group_col].cast("string"), F.lit("")) if group_col else F.lit("")
@@ -301,7 +308,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     end_scores = np.log(token_scores(ends[None, :], np.full((1, n_sets), END)))[0]
 
     # 3. Every word's scores, once.
-    now = _padded(logp)
+    now = _padded(np.column_stack([logp, first]))
     divisor = math.log10(train_tokens + distinct + 1)
     new_word = np.log(token_scores(np.zeros((1, n_sets)), np.ones((1, n_sets))))
 
@@ -310,20 +317,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         for t in _blocks(batches):
             words = t.column("word").to_pylist()
             c = t.column("c").to_numpy()
-            lattice_log = word_scores(lattice, words, now) + math.log(1 - END)
+            marginals = word_scores(lattice, words, now) + math.log(1 - END)
+            lattice_log = marginals[:, :n_sets]
             c_k = t.column("by_set").combine_chunks().flatten().to_numpy().reshape(len(words), n_sets)
             p = token_scores(c_k, np.exp(lattice_log))
             # Where doubles underflow, the word is new and what is left is the lattice times the discounts' shares.
             with np.errstate(divide="ignore"):
                 lps = np.where(p > 1e-280, np.log(p), lattice_log + new_word)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(lps.ravel()), n_sets).cast(pa.list_(pa.float64()))
-            yield from pa.table({"word": t.column("word"), "known": pa.array((c > 0).astype(np.int64)), "base": pa.array(np.log10(c + 1) - divisor), "lps": flat, "everywhere": t.column("everywhere")}).to_batches()
+            yield from pa.table({"word": t.column("word"), "known": pa.array((c > 0).astype(np.int64)), "base": pa.array(np.log10(c + 1) - divisor), "vp": pa.array(marginals[:, -1]), "lps": flat, "everywhere": t.column("everywhere")}).to_batches()
 
-    scored = scratch.save(counted.mapInArrow(per_word, "word binary, known long, base double, lps array<double>, everywhere long"), "scored")
-    common = scored.where(F.col("everywhere") > (totals["all"] or 0) / COMMON).select("word", "known", "base", "lps").toArrow()
+    scored = scratch.save(counted.mapInArrow(per_word, "word binary, known long, base double, vp double, lps array<double>, everywhere long"), "scored")
+    common = scored.where(F.col("everywhere") > (totals["all"] or 0) / COMMON).select("word", "known", "base", "vp", "lps").toArrow()
     common_words = {w: i for i, w in enumerate(common.column("word").to_pylist())}
-    common_values = np.column_stack([common.column("known").to_numpy(), common.column("base").to_numpy(), common.column("lps").combine_chunks().flatten().to_numpy().reshape(-1, n_sets)]) if common_words else np.zeros((0, 2 + n_sets))
-    sent = spark.sparkContext.broadcast((common_words, np.vstack([common_values, np.zeros(2 + n_sets)])))
+    common_values = np.column_stack([*(common.column(x).to_numpy() for x in ("known", "base", "vp")), common.column("lps").combine_chunks().flatten().to_numpy().reshape(-1, n_sets)]) if common_words else np.zeros((0, 3 + n_sets))
+    sent = spark.sparkContext.broadcast((common_words, np.vstack([common_values, np.zeros(3 + n_sets)])))
     base_end = math.log10(trained + 1) - divisor
     names = [f"v{k}" for k in range(n_sets)]
 
@@ -356,20 +364,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
                     pa.concat_arrays([b.column(1).cast(pa.bool_()), pa.nulls(other, pa.bool_())]),
                     pa.array([None] * total + r_words, pa.binary()),
                     pa.array([*tokens, *r_n], pa.int64()),
-                    *(pa.concat_arrays([pa.array(s[:, k]), pa.nulls(other, pa.float64())]) for k in range(2 + n_sets)),
+                    *(pa.concat_arrays([pa.array(s[:, k]), pa.nulls(other, pa.float64())]) for k in range(3 + n_sets)),
                 ],
-                names=["row", "doc_id", "held_out", "word", "n", "known", "base", *names],
+                names=["row", "doc_id", "held_out", "word", "n", "known", "base", "vp", *names],
             )
 
-    schema = "row long, doc_id long, held_out boolean, word binary, n long, known double, base double, " + ", ".join(f"{x} double" for x in names)
+    schema = "row long, doc_id long, held_out boolean, word binary, n long, known double, base double, vp double, " + ", ".join(f"{x} double" for x in names)
     told = scratch.save(rows.select("doc_id", "held_out", "text").mapInArrow(per_text, schema), "texts")
     others = told.where("word is not null").select("row", "word", "n")
     n = F.col("n")
     joined = others.join(scored.withColumnRenamed("word", "w").drop("everywhere"), F.col("word") == F.col("w")).groupBy("row").agg(
-        F.sum(n * F.col("known")).cast("double").alias("known"), F.sum(n * F.col("base")).alias("base"), *[F.sum(n * F.col("lps")[k]).alias(x) for k, x in enumerate(names)]
+        F.sum(n * F.col("known")).cast("double").alias("known"), F.sum(n * F.col("base")).alias("base"), F.sum(n * F.col("vp")).alias("vp"), *[F.sum(n * F.col("lps")[k]).alias(x) for k, x in enumerate(names)]
     )
     texts_only = told.where("word is null").drop("word")
-    far = joined.select(F.col("row").alias("far_row"), *[F.col(x).alias(f"far_{x}") for x in ("known", "base", *names)])
+    far = joined.select(F.col("row").alias("far_row"), *[F.col(x).alias(f"far_{x}") for x in ("known", "base", "vp", *names)])
     both = texts_only.join(far, F.col("row") == F.col("far_row"), "left")
     value = lambda x: F.col(x) + F.coalesce(F.col(f"far_{x}"), F.lit(0.0))
     parts = [value(x) + F.lit(float(end_scores[k] + shares[k])) for k, x in enumerate(names)]
@@ -383,6 +391,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         F.lit(int(train_tokens)).cast("long").alias("train_tokens"),
         (value("base") + F.lit(base_end)).alias("base_score"),
         (marginal / F.lit(math.log(10))).alias("score"),
+        ((value("vp") + F.lit(math.log(END))) / F.lit(math.log(10))).alias("vocabulary_score"),
     )
 
 
