@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from vectorlake.llm import embedding_dedup, fm_index, minhash_dedup, substring_dedup
+from vectorlake.llm import embedding_dedup, fm_index, minhash_dedup, substring_dedup, tiles
 from vectorlake.llm.common import Scratch
 from vectorlake.llm.graph import components
 
@@ -46,6 +46,39 @@ def test_minhash_components(spark, rows):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), want[i], want[i] == i)
 
 
+def rivals(seed=9):
+    """Many texts that share a long passage but are no near copies, so one list holds many components; some of them linked."""
+    rng = random.Random(seed)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage, rows = say(150), []
+    for i in range(70):
+        own = say(rng.choice([10, 25, 60]))
+        rows.append((len(rows), " ".join(passage + own), "en", "a", 0))
+        if i % 5 == 0:
+            own[-1] = "changed"
+            rows.append((len(rows), " ".join(passage + own), "en", "a", 0))
+    return rows
+
+
+def test_tiles_find_all_links(spark, monkeypatch):
+    """Lists with many members that stay apart, dealt into tiles of a few members."""
+    monkeypatch.setattr(minhash_dedup, "TILE", 8)
+    rows = rivals()
+    sets = [shingles(t, 3) for _, t, *_ in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = groups(len(rows), pairs)
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.link(frame(spark, rows), 3, 0.85).collect()} == dict(enumerate(want))
+
+
+def test_overlaps_and_roots():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 50, rng.integers(0, 30))).astype(np.uint64) for _ in range(20)]
+    got = tiles.overlaps(sets[:9], sets[9:], columns=7)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[9:]] for a in sets[:9]]
+    nodes = np.array([5, 3, 9, 3, 7])
+    assert tiles.roots(nodes, np.array([0, 2]), np.array([1, 3])).tolist() == [3, 3, 3, 3, 7]
+
+
 def test_minhash_edges(spark):
     df = frame(spark, [(None, "a b c d e f g", "en", "a", 1), (4, "a b c d e f g", "en", "a", 1), (4, "other words stand here now", "en", "a", 1)])
     got = sorted((r["doc_id"] is None, r["kept"]) for r in minhash_dedup.link(df, 3, 0.85).collect())

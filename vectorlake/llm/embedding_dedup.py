@@ -3,9 +3,13 @@
 Vectors are scaled to length 1 and rotated into the principal axes of all vectors of their dimension, the axis with the
 largest second moment first.  A pair with cosine >= t is at most ``r = sqrt(2 - 2t)`` apart, hence also on the first axis; cells of
 width ``r`` there are compared only with themselves and the next one.  A cell is dealt into tiles of about ``TILE`` vectors, so no task holds a
-cell, and each pair of tiles is one group.  Inside a group the products over the leading axes are accumulated first; the
-product of the norms of what is left bounds the rest, and a pair is dropped as soon as even that cannot reach t.
-The cosine of each pair that remains is taken from the full vectors in double precision.
+cell, and each pair of tiles is one group.
+
+Only the ``LEAD`` leading components go to the groups.  Their products are accumulated first; the product of the norms of
+what is left, which the leading components of a unit vector give, bounds the rest, and a pair is dropped as soon as even that cannot reach t.
+Vectors with a pair left meet again, whole, in the same groups, go on with the other components in the same way, and the cosine of
+each pair that remains is taken in double precision.  Rows shuffled still grow with the square of a label's vectors in a cell over ``TILE``; the
+README has figures.
 
 Equal vectors of a label are compared once and counted by their number.  Groups return link counts and each linked vector's smallest
 partner inside the group, not pairs; these links go into connected components.
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .graph import components
+from .tiles import BOTH, LEFT, PAIR, RIGHT, in_tiles, roots, together, whole_groups
 
 THRESHOLD = 0.98
-TILE = 1024
+TILE = 2048
+#: Components that are compared first, in single precision; ``BLUR`` is more than what that takes from a bound.
+LEAD, BLUR = 16, 1e-5
 #: Axes accumulated before each test against the bound.
 STEPS = (4, 8, 16, 32)
 #: Cosines this close to the threshold are taken again from the unrotated vectors.
@@ -108,6 +115,20 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: floa
     return i[fits], j[fits]
 
 
+def may_reach(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows can have cosine >= threshold, given the leading principal components of unit vectors."""
+    products, alive = np.zeros((len(x), len(y))), np.ones((len(x), len(y)), bool)
+    at = 0
+    rest = lambda p, c: np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", p[:, :c], p[:, :c]), 0))
+    for cut in [c for c in STEPS if c < x.shape[1]] + [x.shape[1]]:
+        products += x[:, at:cut] @ y[:, at:cut].T
+        alive &= products + np.outer(rest(x, cut), rest(y, cut)) >= threshold - BLUR
+        at = cut
+        if not alive.any():
+            break
+    return alive
+
+
 def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -115,65 +136,75 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("vector"), vectors[label_col].alias("label"))
     good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("vector")))
     # One node for each different vector of a label.
-    nodes = scratch.save(good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vector")), "nodes")
+    nodes = scratch.save(good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vector")).withColumn("key", F.monotonically_increasing_id()), "nodes")
     axes = principal_axes(nodes)
     radius = math.sqrt(2 - 2 * threshold)
 
     def place(batches):
         for b in batches:
             dims = b.column("dim").to_numpy()
-            cell = np.zeros(len(dims), np.int64)
+            cell, lead = np.zeros(len(dims), np.int64), np.empty(len(dims), object)
             for d in np.unique(dims):
-                has = dims == d
-                cell[has] = np.floor(_unit(_matrix(b.column("vector").filter(pa.array(has)))) @ axes[int(d)][:, 0] / radius + 1e-9).astype(np.int64)
-            yield b.append_column("cell", pa.array(cell))
-
-    placed = scratch.save(nodes.mapInArrow(place, _schema(nodes) + ", cell long"), "placed")
-    group = ["label", "dim", "cell"]
-    tiles = scratch.save(placed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "tiles")
-    after = tiles.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("tiles_after"))
-    before = tiles.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("tiles_before"))
-    around = scratch.save(tiles.join(after, group, "left").join(before, group, "left").fillna(0), "around")
-    dealt = placed.join(around, group).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    upto = lambda n: F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n)
-    as_left, as_right = F.lit(0), F.lit(1)
-    pair = lambda side, cell, left, next_cell, right: F.struct(side.alias("side"), cell.alias("cell"), left.alias("left"), next_cell.alias("next"), right.alias("right"))
-    here, tile = F.col("cell"), F.col("tile")
-    roles = F.concat(
-        F.transform(upto(F.col("tiles")), lambda t: F.when(t >= tile, pair(as_left, here, tile, here, t)).otherwise(pair(as_right, here, t, here, tile))),
-        F.transform(upto(F.col("tiles_after")), lambda t: pair(as_left, here, tile, here + 1, t)),
-        F.transform(upto(F.col("tiles_before")), lambda t: pair(as_right, here - 1, t, here, tile)),
-    )
-    spread = dealt.select("label", "dim", "vector", "node", "copies", F.explode(roles).alias("p")).select("label", "dim", "vector", "node", "copies", "p.*")
-
-    def compare(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
-        x = _matrix(t.column("vector"))
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        same = t.column("cell")[0] == t.column("next")[0] and t.column("left")[0] == t.column("right")[0]
-        i, j = linked_pairs(x[left], x[left] if same else x[right], axes[x.shape[1]], threshold, same) if len(left) and (same or len(right)) else (np.empty(0, int),) * 2
-        a, b = left[i], (left if same else right)[j]
-        links = np.bincount(a, weights=copies[b], minlength=len(x)) + np.bincount(b, weights=copies[a], minlength=len(x))
-        root = node.copy()
-        while len(a):  # smallest reachable node inside the group
-            old = root.copy()
-            np.minimum.at(root, a, old[b])
-            np.minimum.at(root, b, old[a])
-            if (root == old).all():
-                break
-        has = links > 0
-        return pa.table({"node": node[has], "links": links[has].astype(np.int64), "root": root[has]})
-
-    found = scratch.save(spread.groupBy("label", "dim", "cell", "left", "next", "right").applyInArrow(compare, "node long, links long, root long"), "found")
+                has = np.flatnonzero(dims == d)
+                turned = _unit(_matrix(b.column("vector").take(pa.array(has)))) @ axes[int(d)]
+                cell[has] = np.floor(turned[:, 0] / radius + 1e-9).astype(np.int64)
+                for i, row in zip(has, turned[:, :LEAD].astype(np.float32), strict=True):
+                    lead[i] = row
+            yield b.drop_columns(["vector"]).append_column("lead", pa.array(list(lead), pa.list_(pa.float32()))).append_column("cell", pa.array(cell))
+
+    group = ["label", "dim"]
+    keyed = nodes.select("label", "dim", "key", "vector")
+    placed = scratch.save(keyed.mapInArrow(place, _schema(keyed.drop("vector")) + ", lead array<float>, cell long"), "placed")
+    tiled = together(in_tiles(placed, group, "key", TILE, scratch, "near"), group)
+    kept = [*group, *PAIR, "side", "key"]
+
+    def sides(t: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        side = t.column("side").to_numpy()[a:b]
+        return a + np.flatnonzero(side != RIGHT), a + np.flatnonzero(side != LEFT), bool((side == BOTH).any())
+
+    def first(batches):
+        for t, cuts in whole_groups(batches, [*group, *PAIR]):
+            wanted = np.zeros(t.num_rows, bool)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                left, right, same = sides(t, a, b)
+                if not len(left) or not len(right):
+                    continue
+                x = _matrix(t.column("lead").slice(a, b - a))
+                alive = may_reach(x[left - a], x[right - a], threshold)
+                if same:
+                    np.fill_diagonal(alive, False)
+                wanted[left[alive.any(axis=1)]] = True
+                wanted[right[alive.any(axis=0)]] = True
+            yield from t.select(kept).filter(pa.array(wanted)).to_batches()
+
+    likely = scratch.save(tiled.select(*kept, "lead").mapInArrow(first, _schema(tiled.select(*kept))), "likely")
+
+    def second(batches):
+        for t, cuts in whole_groups(batches, [*group, *PAIR]):
+            node, copies, out = t.column("node").to_numpy(), t.column("copies").to_numpy(), []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                left, right, same = sides(t, a, b)
+                if not len(left) or not len(right):
+                    continue
+                x = _matrix(t.column("vector").slice(a, b - a))
+                i, j = linked_pairs(x[left - a], x[right - a], axes[x.shape[1]], threshold, same)
+                i, j = left[i] - a, right[j] - a
+                here, many = node[a:b], copies[a:b]
+                links = np.bincount(i, weights=many[j], minlength=b - a) + np.bincount(j, weights=many[i], minlength=b - a)
+                root, has = roots(here, i, j), links > 0
+                out.append((here[has], links[has].astype(np.int64), root[has]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "links", "root"])
+
+    whole = likely.join(nodes.select(F.col("key").alias("k"), "vector", "node", "copies"), F.col("key") == F.col("k")).select(*group, *PAIR, "side", "vector", "node", "copies")
+    found = scratch.save(together(whole, group).mapInArrow(second, "node long, links long, root long"), "found")
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = scratch.save(
         nodes.select("label", "vector", "node", "copies").join(counted, "node", "left").join(parts, "node", "left").select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")),
         "known",
     )
-    scratch.drop("placed", "tiles", "around", "found")
+    scratch.clear("known")
     checked = rows.withColumn("l", F.when(usable(F.col("vector")) & F.col("vec_id").isNotNull(), F.col("label")))
     joined = checked.join(known.withColumnRenamed("l", "kl"), (F.col("l") == F.col("kl")) & (F.col("vector") == F.col("v")), "left")
     component = F.coalesce("component", "vec_id")
